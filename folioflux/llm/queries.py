@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflux.llm import decontam, licenses, sharding, topk, url_filter
+from folioflux.llm import decontam, licenses, residual_pack, sharding, token_pack, topk, url_filter
 from folioflux.llm.shared import keep
 
 
@@ -73,6 +73,17 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as packed rows of 2048 token ids, with cumulative segment lengths and position resets."""
+    return token_pack.pack_tokens(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best other vectors for every 100th vector."""
     return topk.top_k(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0, 10)
@@ -124,6 +135,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens."""
+    packed = residual_pack.pack_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
