@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflux.llm import decontam, licenses, residual_pack, sharding, token_pack, topk, url_filter
+from folioflux.llm import decontam, licenses, minhash, residual_pack, sharding, token_pack, topk, url_filter
 from folioflux.llm.shared import keep
 
 
@@ -84,6 +84,21 @@ def op4_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_pack.pack_tokens(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose sets of 2-word shingles reach a Jaccard similarity of 0.8."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=2)
+
+
+_OP6_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM d),
+n AS (SELECT doc_id, s, len(s) AS n FROM s),
+links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, x.n + y.n AS total, len(list_intersect(x.s, y.s)) AS common FROM n x JOIN n y ON x.doc_id < y.doc_id AND x.n > 0 AND y.n > 0 AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)) WHERE 100 * common >= 80 * (total - common)),
+e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT reach.doc_id, e.b FROM reach JOIN e ON e.a = reach.other)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(other) AS component_id, n.doc_id = min(other) AS kept FROM n JOIN reach USING (doc_id) GROUP BY n.doc_id, n.n"""
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best other vectors for every 100th vector."""
     return topk.top_k(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0, 10)
@@ -146,4 +161,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": _op1_sql(), "op7_exact_topk": _OP7_SQL, "op8_decontamination": _OP8_SQL}
+    return {"op1_url_filters": _op1_sql(), "op6_near_duplicates": _OP6_SQL, "op7_exact_topk": _OP7_SQL, "op8_decontamination": _OP8_SQL}
