@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflux.llm import decontam, licenses, minhash, residual_pack, sharding, token_pack, topk, url_filter
+from folioflux.llm import decontam, licenses, minhash, residual_pack, sharding, token_pack, topk, toxicity, url_filter
 from folioflux.llm.shared import keep
 
 
@@ -73,6 +73,24 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: A document is predicted toxic from this score on.
+TOXIC_FROM = 0.3
+
+
+def toxicity_model(spark: SparkSession, documents: DataFrame, sf_dir: str) -> toxicity.Model:
+    """Learned from the labelled documents that aren't held out; a document with several labels is toxic if one says so."""
+    labels = _table(spark, sf_dir, "labels").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = documents.where(toxicity.learnable(F.col("doc_id"))).select("doc_id", "text")
+    return toxicity.train(known.join(labels, "doc_id"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by the two dictionaries."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(documents, toxicity_model(spark, documents, sf_dir))
+    return scored.select("doc_id", (~toxicity.learnable(F.col("doc_id"))).alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
