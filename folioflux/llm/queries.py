@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflux.llm import decontam, licenses, minhash, residual_pack, sharding, token_pack, topk, toxicity, url_filter
+from folioflux.llm import decontam, licenses, lm, minhash, residual_pack, sharding, token_pack, topk, toxicity, url_filter
 from folioflux.llm.shared import keep
 
 
@@ -102,6 +102,15 @@ def op4_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_pack.pack_tokens(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a trie of n-grams that is built from those that aren't held out."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = lm.learnable(F.col("doc_id"))
+    trie = lm.train(documents.where(known))
+    scored = lm.score(documents, trie)
+    return scored.select("doc_id", (~known).alias("held_out"), "lm.n_tokens", "lm.n_known", F.lit(trie.total).cast("long").alias("train_tokens"), "lm.base_score", "lm.score")
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents whose sets of 2-word shingles reach a Jaccard similarity of 0.8."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=2)
