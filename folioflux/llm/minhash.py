@@ -6,17 +6,20 @@ neighbours in memory, and a document's signature is the minimum of such rows.
 
 1. One pass over the texts keeps for each document the size and a digest of its shingle set, and its band keys (no texts, no sets).
 2. Documents with equal sets are linked by an aggregate on the digest; only the one with the least id goes on.
-3. In each bucket of equal band keys every member is paired with the least member. Pairs are linear in the members; pairs of one
-   near-copy cluster mostly coincide over the bands. Sizes alone exclude many.
-4. All pairs are verified on full sets, which a second pass makes for members of shared buckets only.
-5. Links give components. A bucket that still holds several components gets further members to pair with, a few at a time, until
-   its members are one component or all its pairs of different components are verified. So every pair that shares a bucket is
-   either verified or connected, and no bucket's pairs are ever emitted all at once.
+3. In each bucket of equal band keys every member is paired with the pivot: the member that shares most buckets with others, as the
+   original of many copies does. Pairs are linear in the members, and those of one cluster mostly coincide over the bands.
+4. All these pairs are verified on full sets, which a second pass makes for members of shared buckets only. Links give components.
+5. A bucket that still holds several components may hide links between two members x, y that aren't the pivot o. With c = |x & o|
+   known for every member, |x & y| = |x & y & o| + |shingles beyond o that both have| <= min(c) + shared ones. So x, y can only be
+   linked if min(c) alone is enough, which needs a y clearly smaller than x, or if they share a shingle that o lacks. Both kinds are
+   found by equi-joins (on the bucket and a class of sizes; on the pivot and the shingle) and verified; all other pairs are proven
+   to be no links. So every pair that shares a bucket is verified, connected or excluded, and no bucket's pairs are ever emitted.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +35,8 @@ from folioflux.llm.shared import keep
 POSITIONS = 1 << 22
 #: A pair at Jaccard 0.8 shares no bucket with a probability of (1 - 0.8**5)**40 = 1.3e-7.
 BANDS, ROWS = 40, 5
-#: Members that a bucket's others are paired with in the first further round; doubled each round.
-PIVOTS = 8
+#: Sizes of sets within a factor of this are one class.
+SIZE_CLASS = 1.05
 #: Above so many rows a side is joined by a shuffle, not broadcast.
 MAX_BROADCAST_ROWS = 500_000
 
@@ -119,27 +122,80 @@ def _sets(documents: DataFrame, doc_id: str, text: str, size: int, wanted: DataF
     return found.join(wanted, ["node", "digest"], "left_semi").groupBy("node", "digest").agg(F.any_value("shingles").alias("shingles")).drop("digest") if repeats else found.drop("digest")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Of pairs (a, b) those whose sets reach the similarity, given as a fraction; exact, in whole numbers."""
-    above, below = similarity
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with n_a, n_b and common: the sizes of their sets and of the intersection."""
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, two = batch.column(2), batch.column(3)
-            linked = []
+            out = np.empty((3, batch.num_rows), np.int64)
             for i in range(batch.num_rows):
                 x, y = np.frombuffer(one[i].as_buffer(), np.uint64), np.frombuffer(two[i].as_buffer(), np.uint64)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                both = int((large[at] == small).sum())
-                linked.append(below * both >= above * (len(x) + len(y) - both))
-            keepers = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keepers), batch.column(1).filter(keepers)], ["a", "b"])
+                out[:, i] = len(x), len(y), int(_among(x, y).sum() if len(x) <= len(y) else _among(y, x).sum())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, out)], ["a", "b", "n_a", "n_b", "common"])
+
+    return _with_sets(pairs, sets).mapInArrow(compare, "a long, b long, n_a long, n_b long, common long")
+
+
+def _among(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of x are in the sorted, non-empty y."""
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return y[at] == x
 
-    first = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    second = first.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return second.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+
+def _beyond(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """For pairs (a, b) a row (a, b, extra, shingle) for each of the `extra` shingles of b that a lacks."""
+
+    def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, one, two = batch.columns
+            more = []
+            for i in range(batch.num_rows):
+                x, y = np.frombuffer(one[i].as_buffer(), np.uint64), np.frombuffer(two[i].as_buffer(), np.uint64)
+                more.append(y[~_among(y, x)].view(np.int64))
+            counts = np.array([len(m) for m in more], np.int64)
+            rows = pa.array(np.repeat(np.arange(len(counts)), counts))
+            shingles = np.concatenate(more) if more else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([a.take(rows), b.take(rows), pa.array(np.repeat(counts, counts)), pa.array(shingles)], ["a", "b", "extra", "shingle"])
+
+    return _with_sets(pairs, sets).mapInArrow(beyond, "a long, b long, extra long, shingle long")
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    first = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    return first.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+
+
+def _hidden_pairs(members: DataFrame, compared: DataFrame, labels: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components, none of them its pivot, that can be links by step 5."""
+    above, below = similarity
+    enough = lambda common, n, m: F.lit(above + below) * common >= F.lit(above) * (n + m)
+    labelled = members.where("n > 2").select("key", "node", "pivot").join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    known = compared.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("n_b").alias("n"), F.col("common").alias("c"))
+    rows = keep(labelled.join(open_keys, "key", "left_semi").join(known, ["pivot", "node"]), "open")
+    # min(c) alone is enough: for the smaller (or equal) y at least twice its size is needed, which few but those linked to o have
+    size_class = lambda n: F.floor(F.log(n) / math.log(SIZE_CLASS)).cast("int")
+    index = rows.where(enough(F.col("c"), F.col("n"), F.col("n"))).select("key", F.col("node").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"), size_class(F.col("n")).alias("class"))
+    most = F.least(F.col("n"), F.floor(F.lit((above + below) / above) * F.col("c") - F.col("n")) + 1)
+    least = F.floor(F.col("n") * (above / below))
+    probe = rows.select("key", F.col("node").alias("a"), "label", "n", "c", most.alias("most"), F.greatest(least, F.lit(1)).alias("least")).where("most >= least")
+    probe = probe.withColumn("class", F.explode(F.sequence(size_class(F.col("least")), size_class(F.col("most")))))
+    sized = probe.join(index, ["key", "class"]).where((F.col("m") <= F.col("n")) & (F.col("label") != F.col("other")) & enough(F.least("c", "d"), F.col("n"), F.col("m"))).select("a", "b")
+    # a shingle that the pivot lacks is shared
+    of_pivot = rows.select("pivot", "node", "label", "n", "c").distinct()
+    beyond = _beyond(of_pivot.select(F.col("pivot").alias("a"), F.col("node").alias("b")), sets).select(F.col("a").alias("pivot"), F.col("b").alias("node"), "extra", "shingle")
+    beyond = keep(beyond.join(of_pivot, ["pivot", "node"]).where(enough(F.col("c") + F.col("extra"), F.col("n"), F.col("n") * (above / below))), "beyond")
+    several = beyond.groupBy("pivot", "shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("often")).where("low <> high").select("pivot", "shingle", "often")
+    # in one order, rarest first, a pair meets first at a place with as many such shingles left on both sides as it can share at most
+    of_node = Window.partitionBy("pivot", "node")
+    left = F.count("*").over(of_node) - F.row_number().over(of_node.orderBy("often", "shingle")) + 1
+    shared = beyond.join(several, ["pivot", "shingle"]).withColumn("left", left).where(enough(F.col("c") + F.col("left"), F.col("n"), F.col("n") * (above / below)))
+    shared = keep(shared.select("pivot", "shingle", "node", "label", "n", "c", "left"), "shared")
+    other = shared.select("pivot", "shingle", F.col("node").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("left").alias("more"))
+    both = shared.withColumnRenamed("node", "a").join(other, ["pivot", "shingle"]).where((F.col("a") < F.col("b")) & (F.col("label") != F.col("other")) & enough(F.least("c", "d") + F.least("left", "more"), F.col("n"), F.col("m"))).select("a", "b")
+    return sized.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(both).distinct()
 
 
 def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: tuple[int, int] = (80, 100), bands: int = BANDS, rows: int = ROWS, seed: int = 7) -> DataFrame:
@@ -154,46 +210,30 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     above, below = similarity
     features = keep(_features(documents, doc_id, text, size, bands, rows, seed), "features")
     full = features.where("digest is not null and doc_id is not null")
-    first = F.min_by(F.struct("n_shingles", "bands"), "doc_id")
-    nodes = keep(full.groupBy("digest").agg(F.min("doc_id").alias("node"), first.alias("x")).select("digest", "node", "x.n_shingles", "x.bands"), "nodes")
-    buckets = nodes.select(F.explode("bands").alias("key"), "node", "n_shingles")
-    shared = keep(buckets.groupBy("key").agg(F.min(F.struct("node", "n_shingles")).alias("pivot"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    n_shared = shared.count()
-    members = keep(buckets.join(F.broadcast(shared) if n_shared <= MAX_BROADCAST_ROWS else shared, "key"), "members")
-
-    def possible(n: str, m: str) -> F.Column:
-        return F.lit(below) * F.least(n, m) >= F.lit(above) * F.greatest(n, m)
-
-    pairs = members.where((F.col("node") != F.col("pivot.node")) & possible("n_shingles", "pivot.n_shingles")).select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = keep(pairs, "pairs")
-    in_buckets = members.select("node").distinct()
-    wanted = keep(nodes.select("node", "digest").join(in_buckets, "node", "left_semi"), "wanted")
+    nodes = keep(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")), "nodes")
+    buckets = nodes.select(F.explode("bands").alias("key"), "node")
+    shared = keep(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    members = keep(buckets.join(F.broadcast(shared) if shared.count() <= MAX_BROADCAST_ROWS else shared, "key"), "members")
+    weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    weighted = members.join(weights, "node")
+    pivots = weighted.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("less"))).alias("p")).select("key", (-F.col("p.less")).alias("pivot"))
+    members = keep(members.join(pivots, "key"), "members")
+    pairs = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    wanted = keep(nodes.select("node", "digest").join(weights.select("node"), "node", "left_semi"), "wanted")
     repeated = keep(full.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
     repeats = repeated.limit(1).count() > 0
     sets = keep(_sets(documents, doc_id, text, size, wanted, wanted.count(), repeats=repeats), "sets")
-    links = keep(_verified(pairs, sets, similarity), "links")
+    compared = keep(_compared(pairs, sets), "compared")
+    linked = F.lit(below) * F.col("common") >= F.lit(above) * (F.col("n_a") + F.col("n_b") - F.col("common"))
+    links = compared.where(linked).select("a", "b")
     if repeats:  # one id with several sets is one node
         of_id = full.join(repeated, "doc_id", "left_semi").join(nodes.select("digest", "node"), "digest")
         links = links.unionByName(keep(of_id.select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct(), "same-id"))
     labels = components(links)
-    done, step = 1, PIVOTS
-    crowded = members.where("n > 2").select("key", "node", "n_shingles")
-    rank = Window.partitionBy("key").orderBy("node")
-    while True:
-        labelled = crowded.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        still = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where(f"low <> high and n > {done + 1}").select("key")
-        ranked = keep(labelled.join(still, "key", "left_semi").withColumn("rank", F.row_number().over(rank)), "ranked")
-        if not ranked.limit(1).count():
-            break
-        pivots = ranked.where((F.col("rank") > done) & (F.col("rank") <= done + step)).select("key", F.col("node").alias("a"), F.col("n_shingles").alias("m"), F.col("label").alias("other"), F.col("rank").alias("after"))
-        more = ranked.join(pivots, "key").where((F.col("rank") > F.col("after")) & (F.col("label") != F.col("other")) & possible("n_shingles", "m")).select("a", F.col("node").alias("b")).distinct()
-        more = keep(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        found = keep(_verified(more, sets, similarity), "links")
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            labels = components(links)
-        pairs = pairs.unionByName(more)
-        done, step = done + step, 2 * step
+    hidden = keep(_hidden_pairs(members, compared, labels, sets, similarity), "hidden")
+    more = keep(_compared(hidden, sets).where(linked).select("a", "b"), "links")
+    if more.limit(1).count():
+        labels = components(links.unionByName(more))
     to_component = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     placed = features.select("doc_id", "n_shingles", "digest").join(to_component, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
