@@ -239,3 +239,19 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     placed = placed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return placed.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", **how) -> DataFrame:
+    """The documents, all columns as they are, without the rows that near_duplicates() doesn't keep.
+
+    Of equal ids one row stays, whichever; rows with a null id all stay.
+    """
+    found = keep(near_duplicates(documents, doc_id=doc_id, **how), "near")
+    gone = keep(found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    out = documents.join(F.broadcast(gone) if gone.count() <= MAX_BROADCAST_ROWS else gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    again = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__again"))
+    again = keep(again, "again")
+    if again.limit(1).count():
+        repeated = out.join(again, F.col(doc_id) == F.col("__again"), "left_semi").dropDuplicates([doc_id])
+        out = out.join(again, F.col(doc_id) == F.col("__again"), "left_anti").unionByName(repeated)
+    return out
