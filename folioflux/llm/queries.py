@@ -78,10 +78,8 @@ TOXIC_FROM = 0.3
 
 
 def toxicity_model(spark: SparkSession, documents: DataFrame, sf_dir: str) -> toxicity.Model:
-    """Learned from the labelled documents that aren't held out; a document with several labels is toxic if one says so."""
-    labels = _table(spark, sf_dir, "labels").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = documents.where(toxicity.learnable(F.col("doc_id"))).select("doc_id", "text")
-    return toxicity.train(known.join(labels, "doc_id"))
+    """Learned from the labelled documents that aren't held out."""
+    return toxicity.train(documents.where(toxicity.learnable(F.col("doc_id"))), _table(spark, sf_dir, "labels"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflux.llm import bytewords as bw
+from folioflux.llm.columns import with_text_column
+from folioflux.llm.shared import keep
 
 #: Labelled rows that training reads at most: toxic and ordinary ones, those of least hash among texts of at most SAMPLE_BYTES.
 SAMPLE = 3000, 6000
@@ -116,9 +119,14 @@ def _marking_words(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> Count
     beginnings = lambda own: {w[:k] for w in own for k in range(STEM[0], min(len(w), STEM[1]) + 1)} | own
     n, m = len(toxic), len(ordinary)
     least = max(3, n // 150)
+    # a table of hashes bounds what is counted exactly: a beginning can't be frequent in a place that isn't
+    places = np.zeros(1 << 22, np.uint16)
+    for own in toxic:
+        at = np.array([zlib.crc32(w) for w in beginnings(own)], np.int64) & (len(places) - 1)
+        places[np.unique(at)] += 1
     counts: Counter = Counter()
     for own in toxic:
-        counts.update(beginnings(own))
+        counts.update(w for w in beginnings(own) if places[zlib.crc32(w) & (len(places) - 1)] >= least)
     counts = Counter({w: k for w, k in counts.items() if k >= least})
     plain: Counter = Counter()
     for own in ordinary:
@@ -186,19 +194,22 @@ def fit(texts: list[str], labels: list[int], weights: list[float]) -> Model:
     return model
 
 
-def train(labelled: DataFrame, *, text: str = "text", label: str = "toxic", sample: tuple[int, int] = SAMPLE) -> Model:
-    """A model from a bounded sample of rows whose label isn't null, fitted in one task; the model alone comes to the driver."""
-    rows = labelled.where(F.col(label).isNotNull()).select(F.coalesce(text, F.lit("")).alias("text"), (F.col(label) != 0).cast("int").alias("label"))
+def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: tuple[int, int] = SAMPLE) -> Model:
+    """A model from a bounded sample of documents whose label isn't null, fitted in one task; the model alone comes to the driver.
+
+    Documents and labels meet by id as ids, hashes and sizes; only the sample's texts are moved. A document with several labels is
+    toxic if one says so; an id with several texts is sampled as each of them.
+    """
+    known = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max((F.col(label) != 0).cast("int")).alias("label"))
+    narrow = documents.select(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), F.octet_length(F.coalesce(text, F.lit(""))).alias("size"))
+    rows = keep(narrow.join(known, "id"), "labelled")
     counts = dict(rows.groupBy("label").count().collect())
-    parts = []
-    for value, most in ((1, sample[0]), (0, sample[1])):
-        own = rows.where((F.col("label") == value) & (F.octet_length("text") <= SAMPLE_BYTES)).withColumn("h", F.xxhash64("text"))
-        # the least hashes are found among numbers alone; a bound on the hash then picks their texts
-        bound = own.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
-        if bound is not None:
-            parts.append(own.where(F.col("h") <= bound).select("text", "label").limit(2 * most))
-    if not parts:
+    parts = [rows.where((F.col("label") == value) & (F.col("size") <= SAMPLE_BYTES)).orderBy("h", "id").limit(most).select("id", "h", "label") for value, most in ((1, sample[0]), (0, sample[1]))]
+    if not counts:
         return fit([], [], [])
+    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most as many rows as the sample has
+    texts = documents.select(F.col(doc_id).alias("id"), F.coalesce(text, F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    both = texts.join(chosen, ["id", "h"]).select("text", "label")
     schema = "toxic binary, ordinary binary, mean array<double>, scale array<double>, weights array<double>"
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +221,6 @@ def train(labelled: DataFrame, *, text: str = "text", label: str = "toxic", samp
         m = fit(texts, labels, [counts[y] / there[y] for y in labels])
         yield pa.RecordBatch.from_arrays([pa.array([m.toxic], pa.binary()), pa.array([m.ordinary], pa.binary()), *[pa.array([x], pa.list_(pa.float64())) for x in (m.mean, m.scale, m.weights)]], ["toxic", "ordinary", "mean", "scale", "weights"])
 
-    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     row = both.repartition(1).mapInArrow(learn, schema).first()
     return Model(bytes(row[0]), bytes(row[1]), *map(list, row[2:]))
 
@@ -221,22 +231,20 @@ def score(documents: DataFrame, model: Model, *, text: str = "text") -> DataFram
     A null text is scored like an empty one. Whole texts are scored, whatever their length; repeated rows get the same score. Other
     columns stay; one named `toxicity_score` is replaced. An empty table gives no rows.
     """
-    kept = [c for c in documents.columns if c != "toxicity_score"]
-    source = documents.select(*[F.col(f"`{c}`") for c in kept])
-    schema = T.StructType([*source.schema.fields, T.StructField("toxicity_score", T.DoubleType())])
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make() -> Callable[[pa.Array], pa.Array]:
         m = sent.value
         scorer = Scorer(m.toxic, m.ordinary)
         mean, scale, w = np.array(m.mean), np.array(m.scale), np.array(m.weights)
-        for batch in batches:
-            for part in bw.slices(batch, text):
-                x = np.array([scorer.features(t) for t in part.column(kept.index(text)).to_pylist()])
-                p = 1 / (1 + np.exp(-np.clip((x - mean) / scale @ w[:-1] + w[-1], -35, 35)))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(p)], schema.names)
 
-    return source.mapInArrow(run, schema)
+        def of(texts: pa.Array) -> pa.Array:
+            x = np.array([scorer.features(t) for t in texts.to_pylist()])
+            return pa.array(1 / (1 + np.exp(-np.clip((x - mean) / scale @ w[:-1] + w[-1], -35, 35))))
+
+        return of
+
+    return with_text_column(documents, "toxicity_score", T.DoubleType(), text, make)
 
 
 def learnable(doc_id: Column, modulus: int = 4) -> Column:
