@@ -10,15 +10,16 @@ benchmark takes more passes over the documents and gives the same result. Docume
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflux.llm import bytewords as bw
+from folioflux.llm.columns import with_text_column
 
 MAX_BLOCK_BYTES = 16 << 20
 
@@ -110,29 +111,6 @@ def scan_batch(texts: pa.Array, index: Windows) -> tuple[np.ndarray, dict[int, t
     return np.diff(bounds), out
 
 
-def merge_spans(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Overlapping or touching spans of words as one."""
-    out: list[tuple[int, int, int, int]] = []
-    for a, n, x, y in sorted(spans):
-        if out and a <= out[-1][0] + out[-1][1]:
-            b, m, v, w = out[-1]
-            out[-1] = b, max(b + m, a + n) - b, v, max(w, y)
-        else:
-            out.append((a, n, x, y))
-    return out
-
-
-def cut(text: str | None, spans: list[tuple[int, int]]) -> str | None:
-    """The text without those byte ranges."""
-    if not spans or text is None:
-        return text
-    raw, out, at = text.encode(), [], 0
-    for a, b in spans:
-        out.append(raw[at:a])
-        at = b
-    return b"".join([*out, raw[at:]]).decode()
-
-
 def find_contamination(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 10, cut_spans: bool = False, block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
     """The documents, row by row, with `contamination`: struct of n_words, n_hit (words inside any occurrence of a window), items (ids
     as strings, distinct and sorted, of items with occurring windows) and spans (covered words and bytes, merged).
@@ -146,44 +124,56 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, text: str
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
-    kept = [c for c in documents.columns if c != "contamination"]
-    schema = T.StructType([*documents.select(*[F.col(f"`{c}`") for c in kept]).schema.fields, T.StructField("contamination", FOUND)])
-    out = documents.select(*[F.col(f"`{c}`") for c in kept], F.lit(None).cast(FOUND).alias("contamination"))
+    out = documents
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).collect()
         sent = spark.sparkContext.broadcast([tuple(r) for r in rows])
-        last = block == blocks - 1
 
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
+        def make(sent=sent) -> Callable[[pa.Array], pa.Array]:
             index = Windows(sent.value, n)
-            for batch in batches:
-                for part in bw.slices(batch, text):
-                    yield _scanned(part, index, text, kept, cut_spans and last)
-
-        out = out.mapInArrow(scan, schema)
-    return out
-
-
-def _scanned(part: pa.RecordBatch, index: Windows, text: str, kept: list[str], cut_now: bool) -> pa.RecordBatch:
-    counts, found = scan_batch(part.column(text), index)
-    earlier = part.column("contamination")
-    if earlier.null_count < len(earlier):
-        for row, x in enumerate(earlier.to_pylist()):
-            if x and x["spans"]:
-                items, spans = found.get(row, (set(), []))
-                found[row] = items | set(x["items"]), merge_spans([*spans, *[(s["first_word"], s["n_words"], s["first_byte"], s["end_byte"]) for s in x["spans"]]])
-    hit = [sum(s[1] for s in found[i][1]) if i in found else 0 for i in range(part.num_rows)]
-    names = [sorted(found[i][0]) if i in found else [] for i in range(part.num_rows)]
+            return lambda texts: _scanned(texts, index)
+
+        out = with_text_column(out, "__next" if block else "contamination", FOUND, text, make)
+        if block:
+            out = out.withColumn("contamination", _merged(F.col("contamination"), F.col("__next"))).drop("__next")
+    if not cut_spans:
+        return out
+    raw = F.col(text).cast("binary")
+    # what lies between the spans: from the end of one to the beginning of the next
+    spans = F.col("contamination.spans")
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["end_byte"]))
+    begins = F.concat(F.transform(spans, lambda s: s["first_byte"]), F.array(F.octet_length(text).cast("long")))
+    parts = F.transform(F.arrays_zip(ends.alias("a"), begins.alias("b")), lambda p: F.substring(raw, (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")).cast("string"))
+    return out.withColumn(text, F.when(F.size(spans) > 0, F.array_join(parts, "")).otherwise(F.col(text)))
+
+
+def _merged(one: Column, two: Column) -> Column:
+    """What two blocks found: distinct items, and spans that overlap or touch as one."""
+    spans = F.array_sort(F.concat(one["spans"], two["spans"]))
+    empty = F.filter(one["spans"], lambda s: F.lit(False))
+
+    def grow(done: Column, s: Column) -> Column:
+        last = F.element_at(done, -1)
+        end = F.greatest(last["first_word"] + last["n_words"], s["first_word"] + s["n_words"])
+        whole = F.struct(last["first_word"].alias("first_word"), (end - last["first_word"]).alias("n_words"), last["first_byte"].alias("first_byte"), F.greatest(last["end_byte"], s["end_byte"]).alias("end_byte"))
+        touches = (F.size(done) > 0) & (s["first_word"] <= last["first_word"] + last["n_words"])
+        return F.when(touches, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(whole))).otherwise(F.concat(done, F.array(s)))
+
+    joined = F.aggregate(spans, empty, grow)
+    hit = F.aggregate(joined, F.lit(0).cast("long"), lambda n, s: n + s["n_words"])
+    return F.struct(one["n_words"].alias("n_words"), hit.alias("n_hit"), F.array_sort(F.array_union(one["items"], two["items"])).alias("items"), joined.alias("spans"))
+
+
+def _scanned(texts: pa.Array, index: Windows) -> pa.Array:
+    counts, found = scan_batch(texts, index)
+    none: tuple[set[str], list] = (set(), [])
+    rows = [found.get(i, none) for i in range(len(texts))]
     keys = [f.name for f in SPAN.fields]
-    spans = [[dict(zip(keys, s, strict=True)) for s in found[i][1]] if i in found else [] for i in range(part.num_rows)]
     span = pa.struct([(k, pa.int64()) for k in keys])
-    columns = [pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(span))]
-    struct = pa.StructArray.from_arrays(columns, ["n_words", "n_hit", "items", "spans"])
-    columns = [part.column(c) for c in kept]
-    if cut_now and found:
-        at = kept.index(text)
-        texts = columns[at].to_pylist()
-        for row, (_, places) in found.items():
-            texts[row] = cut(texts[row], [(s[2], s[3]) for s in places])
-        columns[at] = pa.array(texts, columns[at].type)
-    return pa.RecordBatch.from_arrays([*columns, struct], [*kept, "contamination"])
+    columns = [
+        pa.array(counts, pa.int64()),
+        pa.array([sum(s[1] for s in r[1]) for r in rows], pa.int64()),
+        pa.array([sorted(r[0]) for r in rows], pa.list_(pa.string())),
+        pa.array([[dict(zip(keys, s, strict=True)) for s in r[1]] for r in rows], pa.list_(span)),
+    ]
+    return pa.StructArray.from_arrays(columns, ["n_words", "n_hit", "items", "spans"])

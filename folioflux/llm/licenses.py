@@ -8,16 +8,16 @@ one automaton over that finds every place of every phrase in one pass, however m
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflux.llm import bytewords as bw
+from folioflux.llm.columns import with_text_column
 
 #: Phrases (as normalised words) of the contract's base and their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -181,26 +181,24 @@ def scan_licenses(documents: DataFrame, *, text: str = "text", base: dict[str, s
     replaced. An empty table gives no rows.
     """
     base, notices = BASE_PHRASES if base is None else base, NOTICE_PHRASES if notices is None else notices
-    kept = [c for c in documents.columns if c != "licenses"]
-    source = documents.select(*[F.col(f"`{c}`") for c in kept])
-    schema = T.StructType([*source.schema.fields, T.StructField("licenses", FOUND)])
     place = pa.struct([("first_word", pa.int64()), ("n_words", pa.int64()), ("label", pa.string())])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make() -> Callable[[pa.Array], pa.Array]:
         machine = automaton(base, notices)
-        for batch in batches:
-            for part in bw.slices(batch, text):
-                data, offsets = bw.buffers(part.column(text))
-                raw, cuts = data.tobytes(), offsets.tolist()
-                rows = [scan_text(raw[cuts[i] : cuts[i + 1]], machine, base, notices) for i in range(part.num_rows)]
-                columns = [
-                    pa.array(np.array([r[0] for r in rows], np.int64)),
-                    pa.array([[{"first_word": a, "n_words": n, "label": x} for a, n, x in r[1]] for r in rows], pa.list_(place)),
-                    pa.array([sorted({*r[2], *(p[2] for p in r[1])}) for r in rows], pa.list_(pa.string())),
-                    pa.array([r[3] for r in rows], pa.list_(pa.string())),
-                    pa.array([r[4] for r in rows], pa.float64()),
-                ]
-                struct = pa.StructArray.from_arrays(columns, [f.name for f in FOUND.fields])
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], struct], [*kept, "licenses"])
-
-    return source.mapInArrow(scan, schema)
+
+        def of(texts: pa.Array) -> pa.Array:
+            data, offsets = bw.buffers(texts)
+            raw, cuts = data.tobytes(), offsets.tolist()
+            rows = [scan_text(raw[a:b], machine, base, notices) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            columns = [
+                pa.array(np.array([r[0] for r in rows], np.int64)),
+                pa.array([[{"first_word": a, "n_words": n, "label": x} for a, n, x in r[1]] for r in rows], pa.list_(place)),
+                pa.array([sorted({*r[2], *(p[2] for p in r[1])}) for r in rows], pa.list_(pa.string())),
+                pa.array([r[3] for r in rows], pa.list_(pa.string())),
+                pa.array([r[4] for r in rows], pa.float64()),
+            ]
+            return pa.StructArray.from_arrays(columns, [f.name for f in FOUND.fields])
+
+        return of
+
+    return with_text_column(documents, "licenses", FOUND, text, make)
