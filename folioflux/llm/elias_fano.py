@@ -6,23 +6,23 @@ import json
 
 import numpy as np
 
-#: 64-bit words of a block whose ones are counted.
-BLOCK = 8
 _ONE = np.uint64(1)
 _ALL = ~np.uint64(0)
+_LOWS, _HIGHS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+#: The place of the k-th one bit of a byte, at 8 * byte + k.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.int64).ravel()
 
 
 def select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """The place of the k-th (from 0) one bit of each word."""
-    word, k = word.copy(), k.astype(np.int64)
-    at = np.zeros(len(word), np.int64)
-    for half in (32, 16, 8, 4, 2, 1):
-        ones = np.bitwise_count(word & np.uint64((1 << half) - 1)).astype(np.int64)
-        beyond = k >= ones
-        k = np.where(beyond, k - ones, k)
-        at += np.where(beyond, half, 0)
-        word = np.where(beyond, word >> np.uint64(half), word)
-    return at
+    """The place of the k-th (from 0) one bit of each word: byte counts added up in one multiplication, then a table of bytes."""
+    k = k.astype(np.uint64)
+    n = word - ((word >> _ONE) & np.uint64(0x5555555555555555))
+    n = (n & np.uint64(0x3333333333333333)) + ((n >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    upto = ((n + (n >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _LOWS
+    shift = np.bitwise_count((((k * _LOWS) | _HIGHS) - upto) & _HIGHS).astype(np.uint64) << np.uint64(3)
+    left = k - ((upto << np.uint64(8)) >> shift & np.uint64(0xFF))
+    byte = (word >> shift) & np.uint64(0xFF)
+    return shift.astype(np.int64) + _IN_BYTE[((byte << np.uint64(3)) + left).astype(np.int64)]
 
 
 class EliasFano:
@@ -48,9 +48,9 @@ class EliasFano:
             np.bitwise_or.at(low, (at[over] >> 6) + 1, part[over] >> (np.uint64(64) - shift[over]))
         places = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         words = n + (universe >> bits) + 2
-        high = np.zeros(-(-words // (64 * BLOCK)) * BLOCK, np.uint64)
+        high = np.zeros(-(-words // 64) + 1, np.uint64)
         np.bitwise_or.at(high, places >> 6, _ONE << (places & 63).astype(np.uint64))
-        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high).reshape(-1, BLOCK).sum(1, dtype=np.int64))])
+        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])
         return cls(n, universe, low, high, ones)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
@@ -59,21 +59,15 @@ class EliasFano:
         at = i * self.bits
         word, shift = at >> 6, (at & 63).astype(np.uint64)
         out = self.low[word] >> shift
-        rest = np.where(shift > 0, self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+        rest = np.where(shift + np.uint64(self.bits) > 64, self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
         return (out | rest) & np.uint64((1 << self.bits) - 1)
 
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
         """The place in the high bits of the k-th (from 0) one, or zero."""
-        before = self.ones if ones else np.arange(len(self.ones), dtype=np.int64) * (64 * BLOCK) - self.ones
-        block = np.searchsorted(before, k, "right") - 1
-        left = k - before[block]
-        words = self.high[(block * BLOCK)[:, None] + np.arange(BLOCK)]
-        words = words if ones else words ^ _ALL
-        upto = np.cumsum(np.bitwise_count(words), 1, dtype=np.int64)
-        column = (upto <= left[:, None]).sum(1)
-        rows = np.arange(len(k))
-        left = left - np.where(column > 0, upto[rows, np.maximum(column - 1, 0)], 0)
-        return (block * BLOCK + column) * 64 + select_in_word(words[rows, column], left)
+        before = self.ones if ones else np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
+        word = np.searchsorted(before, k, "right") - 1
+        bits = self.high[word]
+        return word * 64 + select_in_word(bits if ones else bits ^ _ALL, k - before[word])
 
     def get(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, np.int64)
@@ -89,9 +83,17 @@ class EliasFano:
         beyond = x >= np.uint64(self.universe)
         x = np.where(beyond, np.uint64(0), x)
         h = (x >> np.uint64(self.bits)).astype(np.int64)
-        # numbers with high part below h come before the h-th zero
-        start = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) + 1 - h, 0)
-        end = self._select(h, False) - h
+        # numbers with high part h are the ones between zero h - 1 and zero h
+        begin = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) + 1, 0)
+        word, shift = begin >> 6, (begin & 63).astype(np.uint64)
+        after = np.where(shift > 0, self.high[np.minimum(word + 1, len(self.high) - 1)] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+        bits = (self.high[word] >> shift) | after
+        run = np.bitwise_count(bits & ~(bits + _ONE)).astype(np.int64)  # ones before the first zero
+        long = run >= 64
+        if long.any():
+            run[long] = self._select(h[long], False) - begin[long]
+        start = begin - h
+        end = start + run
         want = x & np.uint64((1 << self.bits) - 1)
         a, b = start.copy(), end.copy()
         while True:  # a binary search among the few numbers with this high part

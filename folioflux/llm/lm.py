@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflux.llm import bytewords as bw
+from folioflux.llm.columns import with_text_column
 from folioflux.llm.elias_fano import EliasFano, map_arrays, pack_arrays
 from folioflux.llm.shared import local_path, new_folder, write_file
 
@@ -35,11 +36,11 @@ DISCOUNT = 0.75
 #: n-grams of two and more tokens are kept from this count on; the others count for the mass of shorter contexts.
 LEAST = 2
 #: Training tokens (for the vocabulary: distinct ones, at most) that a part of a level has about.
-PART_TOKENS = 2 << 20
+PART_TOKENS = 1 << 20
 #: Tokens that a task counts before it sends a run.
-RUN_TOKENS = 4 << 20
+RUN_TOKENS = 1 << 20
 #: Bytes of text that are scored together: the more, the fewer lookups.
-SCORE_BYTES = 8 << 20
+SCORE_BYTES = 4 << 20
 #: Probabilities are kept as 16-bit codes of their logarithm from 10**-SPAN to 1.
 SPAN = 10.0
 #: Distinct tokens have to be fewer; longer n-grams may be more.
@@ -390,21 +391,14 @@ def score(documents: DataFrame, trie: Trie, *, text: str = "text") -> DataFrame:
     A null text counts as empty: one end. Repeated rows get the same scores; very long texts are read whole. Other columns stay; one
     named `lm` is replaced. An empty table gives no rows.
     """
-    kept = [c for c in documents.columns if c != "lm"]
-    source = documents.select(*[F.col(f"`{c}`") for c in kept])
-    schema = T.StructType([*source.schema.fields, T.StructField("lm", FOUND)])
     sent = documents.sparkSession.sparkContext.broadcast(trie)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make() -> Callable[[pa.Array], pa.Array]:
         levels = Levels(sent.value)
-        for batch in batches:
-            for part in bw.slices(batch, text, SCORE_BYTES):
-                found = score_texts(levels, part.column(text))
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                struct = pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(found, kinds, strict=True)], [f.name for f in FOUND.fields])
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], struct], schema.names)
-
-    return source.mapInArrow(run, schema)
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        return lambda texts: pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(score_texts(levels, texts), kinds, strict=True)], [f.name for f in FOUND.fields])
+
+    return with_text_column(documents, "lm", FOUND, text, make, most=SCORE_BYTES)
 
 
 def learnable(doc_id: Column, modulus: int = 7) -> Column:

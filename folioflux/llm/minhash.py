@@ -57,10 +57,10 @@ def shingle_sets(texts: pa.Array, size: int = 2) -> Iterator[np.ndarray]:
         if b - a >= size:
             yield np.unique(shingles[a : b - size + 1])
         elif b > a:
-            short = h[a]
-            for x in h[a + 1 : b]:
-                short = bw.mix(np.array([short * _SECOND + x]))[0]
-            yield bw.mix(np.array([short ^ np.uint64(b - a)]))
+            short = h[a : a + 1]
+            for i in range(a + 1, b):
+                short = bw.mix(short * _SECOND + h[i : i + 1])
+            yield bw.mix(short ^ np.uint64(b - a))
         else:
             yield np.empty(0, np.uint64)
 
