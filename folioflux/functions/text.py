@@ -284,7 +284,7 @@ def _escaped(literal: Column) -> Column:
 
 def contains_rendering(rendering: Column, text: Column) -> Column:
     """Each word of the rendering occurs with its stem at the beginning of a word."""
-    return F.forall(words(rendering), lambda w: F.lower(text).rlike(F.concat(F.lit(EDGE[0]), _escaped(stem(w)))))
+    return F.forall(words(rendering), lambda w: F.rlike(F.lower(text), F.concat(F.lit(EDGE[0]), _escaped(stem(w)))))
 
 
 def term_occurrences(term: Column, text: Column) -> Column:

@@ -104,7 +104,7 @@ def select(candidates: DataFrame, tier: str, seed: int = SEED) -> DataFrame:
             offer(row)
         return pd.DataFrame(list(chosen), columns=["book_slug", "chapter_index", "position"])
 
-    found = pool.select("book_slug", "chapter_index", "position", "band", "strata", "__mark").groupBy(F.lit(0)).applyInPandas(choose, schema)
+    found = pool.select("book_slug", "chapter_index", "position", "band", "strata", "__mark", F.lit(0).alias("__all")).groupBy("__all").applyInPandas(choose, schema)
     return candidates.join(F.broadcast(found), ["book_slug", "chapter_index", "position"], "left_semi")
 
 
