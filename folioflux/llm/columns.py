@@ -11,6 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
 from folioflux.llm import bytewords as bw
+from folioflux.llm.shared import bound_batches
 
 
 def with_text_column(documents: DataFrame, name: str, kind: DataType, text: str, make: Callable[[], Callable[[pa.Array], pa.Array]], *, most: int = bw.SLICE_BYTES) -> DataFrame:
@@ -18,6 +19,7 @@ def with_text_column(documents: DataFrame, name: str, kind: DataType, text: str,
 
     Called once for each row, whatever reads the column: it counts as non-deterministic, so no filter is evaluated by calling it again.
     """
+    bound_batches(documents.sparkSession)
     arrow = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

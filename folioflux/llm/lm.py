@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from folioflux.llm import bytewords as bw
 from folioflux.llm.columns import with_text_column
 from folioflux.llm.elias_fano import EliasFano, map_arrays, pack_arrays
-from folioflux.llm.shared import local_path, new_folder, write_file
+from folioflux.llm.shared import bound_batches, local_path, new_folder, write_file
 
 DISCOUNT = 0.75
 #: n-grams of two and more tokens are kept from this count on; the others count for the mass of shorter contexts.
@@ -105,7 +105,9 @@ class Levels:
     def _parts(self, level: int, keys: np.ndarray) -> Iterator[tuple[slice, Segment, dict]]:
         """The segments that sorted keys fall into."""
         firsts = self.firsts[level]
-        cuts = np.searchsorted(keys, firsts[1:]) if len(firsts) else np.empty(0, np.int64)
+        if not len(firsts):
+            return
+        cuts = np.searchsorted(keys, firsts[1:])
         for segment, a, b in zip(self.trie.levels[level], [0, *cuts], [*cuts, len(keys)], strict=True):
             if b > a:
                 yield slice(a, b), segment, self._file(segment.uri)
@@ -342,6 +344,7 @@ def train(documents: DataFrame, *, text: str = "text", order: int = 3, part_toke
     Its files are in the shared folder. No documents give a trie without tokens, under which every text is a sequence of unknown ones.
     """
     spark = documents.sparkSession
+    bound_batches(spark)
     folder = new_folder(spark, "trie")
     texts = _texts(documents, text)
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

@@ -24,12 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflux.llm import bytewords as bw
 from folioflux.llm.components import components
-from folioflux.llm.shared import keep
+from folioflux.llm.shared import bound_batches, keep
 
 #: Positions of the circulant permutation.
 POSITIONS = 1 << 22
@@ -207,6 +207,7 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     share a component, and rows of one id with different texts connect what both are linked to. Very long texts are read whole. An
     empty table gives no rows. Other columns take no part.
     """
+    bound_batches(documents.sparkSession)
     above, below = similarity
     features = keep(_features(documents, doc_id, text, size, bands, rows, seed), "features")
     full = features.where("digest is not null and doc_id is not null")

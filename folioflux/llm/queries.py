@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +38,9 @@ URL_LISTS = [
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages against the lists as they were when each page was fetched; page_id stands for the minute of 2024, every 37 minutes."""
-    entries = spark.createDataFrame(URL_LISTS, "list_name string, kind string, entry string, action string, listed_at string")
-    entries = entries.withColumn("listed_at", F.to_timestamp("listed_at"))
+    dated = [(*row[:4], int(datetime.fromisoformat(row[4]).replace(tzinfo=timezone.utc).timestamp())) for row in URL_LISTS]
+    entries = spark.createDataFrame(dated, "list_name string, kind string, entry string, action string, listed_at long")
+    entries = entries.withColumn("listed_at", F.timestamp_seconds("listed_at"))
     fetched = F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.col("page_id") * 37 * 60, F.lit(366 * 86400)))
     captures = _table(spark, sf_dir, "pages").select("page_id", "url", fetched.alias("fetched_at"))
     found = url_filter.filter_urls(captures, entries)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflux.llm import bytewords as bw
-from folioflux.llm.shared import keep
+from folioflux.llm.shared import bound_batches, keep
 from folioflux.llm.tokenizing import ids_of
 
 #: Items that one node packs.
@@ -121,6 +121,7 @@ def pack_lengths(items: DataFrame, capacity: int, *, node_items: int = NODE_ITEM
 def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int, *, text: str = "text", end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """A row for each piece of each document: the columns of documents but the text, piece, start, length, ids_crc32 and, with
     `with_ids`, ids (binary, little-endian unsigned 32-bit)."""
+    bound_batches(documents.sparkSession)
     kept = [c for c in documents.columns if c not in (text, "piece", "start", "length", "ids_crc32", "ids")]
     fields = [("piece", T.IntegerType(), pa.int32()), ("start", T.LongType(), pa.int64()), ("length", T.LongType(), pa.int64()), ("ids_crc32", T.LongType(), pa.int64())]
     source = documents.select(*[F.col(f"`{c}`") for c in kept], text)

@@ -35,9 +35,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def parallelism(spark: SparkSession) -> int:
-    """Tasks to deal a shuffle to by default: the session's shuffle partitions."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 16 MB from here on, if the session has the default of 64: a batch of texts is in memory several times."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, str(16 << 20))
 
 
 def write_file(uri: str, data: bytes) -> None:

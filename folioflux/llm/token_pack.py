@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflux.llm import bytewords as bw
-from folioflux.llm.shared import write_file
+from folioflux.llm.shared import bound_batches, write_file
 from folioflux.llm.tokenizing import ids_of
 
 #: Tokens that are packed at once, and rows that may wait open.
@@ -155,6 +155,7 @@ def pack_tokens(documents: DataFrame, tokenizer_path: str, *, capacity: int = 20
         yield from out(packer.add(pieces))
         yield from out(packer.rest())
 
+    bound_batches(documents.sparkSession)
     return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(pack, SCHEMA)
 
 
