@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from folioflux.llm import decontam, licenses, lm, minhash, residual_pack, sharding, token_pack, topk, toxicity, url_filter
 from folioflux.llm.shared import keep
+from folioflux.operators.kept import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 #: Dated rows of two lists: (list_name, kind, entry, action, listed_at).

@@ -134,7 +134,7 @@ def pack_tokens(documents: DataFrame, tokenizer_path: str, *, capacity: int = 20
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, packer, pieces, tokens = ids_of(tokenizer_path), Packer(capacity), [], 0
-        kind = np.dtype("<u2" if max(coder.slow.get_vocab_size() - 1, end_id, pad_id) < 1 << 16 else "<u4")
+        kind = np.dtype("<u2" if max(coder.size - 1, end_id, pad_id) < 1 << 16 else "<u4")
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
 
         def out(rows: list[list[tuple]]) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -26,16 +26,23 @@ class Ids:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.slow = Tokenizer.from_file(path)
-        self.slow.no_padding()
-        self.slow.no_truncation()
+        self.path = path
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
+        self.size = 1 + max([*spec["model"].get("vocab", {}).values(), *[x["id"] for x in spec.get("added_tokens", [])]]) if isinstance(spec["model"].get("vocab"), dict) else self.slow.get_vocab_size()
         self.fast = self._fast(spec)
 
+    @cached_property
+    def slow(self):  # noqa: ANN201
+        """Loaded by the first text that needs it: it takes as much memory as the fast one."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.no_padding()
+        out.no_truncation()
+        return out
+
     @staticmethod
     def _fast(spec: dict):
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
