@@ -8,21 +8,22 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from folioflux.functions.text import clean_title
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else v.casefold())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _ascii(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else re.sub(r"[^a-z0-9]+", " ", unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode().lower()).strip())
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflux.functions import identity, text
+from folioflux.operators.kept import keep
 from folioflux.operators.running import running_total
 
 
@@ -16,9 +17,9 @@ def segments_of_lines(documents: DataFrame) -> DataFrame:
     don't end a sentence, else `paragraph`. The chapter's title is its first line. doc_id is taken to be unique.
     """
     docs = documents.select(F.col("source").alias("book_key"), "doc_id", F.split("text", "\n").alias("lines")).withColumn("n_lines", F.size("lines"))
-    counts = docs.select("book_key", "doc_id", "n_lines")
+    counts = keep(docs.select("book_key", "doc_id", "n_lines"), "line-counts")
     placed = running_total(running_total(counts, ["book_key"], ["doc_id"], F.col("n_lines"), "first"), ["book_key"], ["doc_id"], F.lit(1), "chapter_index")
-    rows = docs.join(placed.drop("n_lines"), ["book_key", "doc_id"]).select("book_key", "doc_id", F.col("chapter_index").cast("int"), "first", F.col("lines")[0].alias("chapter_title"), F.posexplode("lines").alias("line_no", "text"))
+    rows = docs.join(keep(placed.drop("n_lines"), "chapters"), ["book_key", "doc_id"]).select("book_key", "doc_id", F.col("chapter_index").cast("int"), "first", F.col("lines")[0].alias("chapter_title"), F.posexplode("lines").alias("line_no", "text"))
     t = text.strip(F.col("text"))
     kind = (
         F.when(text.is_blank(F.col("text")), "other").when(t.rlike("^[-*] "), "list_item")

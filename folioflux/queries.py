@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 from folioflux.functions import identity, money, text
 from folioflux.operators import catalog, experiment, layout, planning, sampling, scoring, segments, selection, store, sync
+from folioflux.operators.kept import keep, spread
 from folioflux.sources import html
 
 BATCH, LANES, CONTEXT, MODEL = 20, 4, 2, "gpt-5-mini"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in ("documents", "pages") else found
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +37,10 @@ def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.with_state(rows, skipped, cached)
 
 
+def _narrow_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keep(_states(spark, sf_dir).select("book_key", "chapter_index", "position", "id", "state"), "states")
+
+
 def segment_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segments(spark, sf_dir).select("book_key", "chapter_index", "position", "id", identity.segment_hash(F.col("text")).alias("segment_hash"))
 
@@ -48,16 +54,16 @@ def segment_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = planning.batches(_states(spark, sf_dir), BATCH)
+    rows = planning.batches(_narrow_states(spark, sf_dir), BATCH)
     return rows.select("book_key", "batch_no", "chapter_index", "first_position", "last_position", "n_segments", F.sha1(F.array_join("ids", ",").cast("binary")).alias("ids_sha1"))
 
 
 def wave_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planning.waves(_states(spark, sf_dir), BATCH, LANES).select("book_key", "batch_no", "wave_no", "wave_first", "n_segments")
+    return planning.waves(_narrow_states(spark, sf_dir), BATCH, LANES).select("book_key", "batch_no", "wave_no", "wave_first", "n_segments")
 
 
 def wave_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    states = _states(spark, sf_dir)
+    states = _narrow_states(spark, sf_dir)
     rows = planning.wave_context(states, planning.waves(states, BATCH, LANES), CONTEXT)
     return rows.select("book_key", "wave_no", "wave_first", F.array_join("context", ",").alias("context"))
 
@@ -274,7 +280,7 @@ def completeness_t1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def structure_t5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each book against itself without every 17th line."""
-    rows = _segments(spark, sf_dir)
+    rows = keep(_segments(spark, sf_dir), "segments")
     found = scoring.structure(rows, rows.where("position % 17 <> 0"))
     return found.select("book_key", *[F.round(c, 9).alias(c) for c in found.columns if c != "book_key"])
 
@@ -295,7 +301,7 @@ def cost_t7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weighted_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _segments(spark, sf_dir)
+    rows = keep(_segments(spark, sf_dir), "segments")
     t5 = scoring.structure(rows, rows.where("position % 17 <> 0")).select("book_key", F.lit("T5").alias("key"), "fraction")
     t7 = _costs(spark, sf_dir).select("book_key", F.lit("T7").alias("key"), "fraction")
     kept = rows.groupBy("book_key").agg(F.avg(F.when(F.col("position") % 17 != 0, 1.0).otherwise(0.0)).alias("fraction"))
@@ -377,7 +383,7 @@ def parse_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = _segments(spark, sf_dir)
+    rows = keep(_segments(spark, sf_dir), "segments")
     controls = rows.where("position % 13 <> 5").select("book_key", "id", F.col("text").alias("control"))
     return rows, controls, experiment.candidate_runs(experiment.eligible_blocks(rows, controls), run_length=3, context_pairs=CONTEXT)
 
@@ -399,7 +405,7 @@ def paired_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = segments.eligible_paragraphs(_segments(spark, sf_dir))
+    rows = segments.eligible_paragraphs(keep(_segments(spark, sf_dir), "segments"))
     return rows.withColumnRenamed("book_key", "book_slug")
 
 
