@@ -43,7 +43,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = spark.createDataFrame(dated, "list_name string, kind string, entry string, action string, listed_at long")
     entries = entries.withColumn("listed_at", F.timestamp_seconds("listed_at"))
     fetched = F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.col("page_id") * 37 * 60, F.lit(366 * 86400)))
-    captures = _table(spark, sf_dir, "pages").select("page_id", "url", fetched.alias("fetched_at"))
+    captures = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", fetched.alias("fetched_at"))
     found = url_filter.filter_urls(captures, entries)
     kept = "host", "n_active", "decision", "list_name", "kind", "entry"
     return found.select("page_id", F.unix_timestamp("fetched_at").alias("fetched_s"), *[F.col(f"url_filter.{c}") for c in kept], F.unix_timestamp("url_filter.valid_from").alias("valid_from_s"))
@@ -71,7 +71,7 @@ SHARDS = 40
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of nearly equal bytes."""
-    keyed = sharding.with_key(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id").drop("text")
+    keyed = sharding.with_key(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "text", "doc_id").drop("text")
     sharded = sharding.histogram_shards(keyed, SHARDS, spread=keep(keyed, "op2"))
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
