@@ -26,6 +26,6 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Over all cores, if the input's files are fewer than those; large inputs stay as they are."""
+    """A table read from fewer files than half the cores over all of them; tables of more files stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 2 * len(df.inputFiles()) < cores else df
