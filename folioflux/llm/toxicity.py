@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from folioflux.llm import bytewords as bw
 from folioflux.llm.columns import with_text_column
-from folioflux.llm.shared import keep
+from folioflux.llm.shared import bound_batches, keep
 
 #: Labelled rows that training reads at most: toxic and ordinary ones, those of least hash among texts of at most SAMPLE_BYTES.
 SAMPLE = 3000, 6000
@@ -114,26 +114,30 @@ def _g2(a: int, n: int, b: int, m: int) -> float:
     return 0.0 if p in (0, 1) else 2 * (part(a, n, a / n) + part(b, m, b / m) - part(a, n, p) - part(b, m, p))
 
 
-def _marking_words(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> Counter:
-    """Words of toxic documents, by documents, that are or begin with something far more frequent there."""
+def _marking_words(toxic: list[str], ordinary: list[str]) -> Counter:
+    """Words of toxic documents, by documents, that are or begin with something far more frequent there.
+
+    Texts are split again for each pass: their words' sets together would take many times their size.
+    """
+    sets = lambda texts: (set(_words(t)) for t in texts)
     beginnings = lambda own: {w[:k] for w in own for k in range(STEM[0], min(len(w), STEM[1]) + 1)} | own
     n, m = len(toxic), len(ordinary)
     least = max(3, n // 150)
     # a table of hashes bounds what is counted exactly: a beginning can't be frequent in a place that isn't
-    places = np.zeros(1 << 22, np.uint16)
-    for own in toxic:
+    places = np.zeros(1 << 22, np.uint32)
+    for own in sets(toxic):
         at = np.array([zlib.crc32(w) for w in beginnings(own)], np.int64) & (len(places) - 1)
         places[np.unique(at)] += 1
     counts: Counter = Counter()
-    for own in toxic:
+    for own in sets(toxic):
         counts.update(w for w in beginnings(own) if places[zlib.crc32(w) & (len(places) - 1)] >= least)
     counts = Counter({w: k for w, k in counts.items() if k >= least})
     plain: Counter = Counter()
-    for own in ordinary:
+    for own in sets(ordinary):
         plain.update(w for w in beginnings(own) if w in counts)
     marks = {w for w, k in counts.items() if k / n > 20 * (plain[w] + 0.5) / m and _g2(k, n, plain[w], m) > 20}
     out: Counter = Counter()
-    for own in toxic:
+    for own in sets(toxic):
         out.update(w for w in own if w in marks or any(w[:k] in marks for k in range(STEM[0], min(len(w), STEM[1]) + 1)))
     return out
 
@@ -171,8 +175,7 @@ def fit(texts: list[str], labels: list[int], weights: list[float]) -> Model:
     order = sorted(range(len(texts)), key=lambda i: hashlib.blake2b(texts[i].encode(), digest_size=8).digest())
     texts, labels, weights = [texts[i] for i in order], [labels[i] for i in order], [weights[i] for i in order]
     kept = _distinct(texts)
-    sets = [set(_words(texts[i])) for i in kept]
-    toxic, ordinary = [s for s, i in zip(sets, kept, strict=True) if labels[i]], [s for s, i in zip(sets, kept, strict=True) if not labels[i]]
+    toxic, ordinary = [texts[i] for i in kept if labels[i]], [texts[i] for i in kept if not labels[i]]
     if not toxic or not ordinary:
         share = (sum(w for w, y in zip(weights, labels, strict=True) if y) + 0.5) / (sum(weights) + 1)
         n = 2 * (len(STEPS) + 3)
@@ -200,6 +203,7 @@ def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
     Documents and labels meet by id as ids, hashes and sizes; only the sample's texts are moved. A document with several labels is
     toxic if one says so; an id with several texts is sampled as each of them.
     """
+    bound_batches(documents.sparkSession)
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max((F.col(label) != 0).cast("int")).alias("label"))
     narrow = documents.select(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), F.octet_length(F.coalesce(text, F.lit(""))).alias("size"))
     rows = keep(narrow.join(known, "id"), "labelled")
