@@ -121,7 +121,10 @@ eb AS (SELECT *, sum(CASE WHEN fit AND lag_fit AND lag_ch = chapter_index THEN 0
 tl AS (SELECT *, row_number() OVER (PARTITION BY book_key, block ORDER BY position) - 1 AS nth FROM eb WHERE fit),
 rn AS (SELECT *, nth % 5 AS slot, min(position) OVER (PARTITION BY book_key, block, nth // 5) AS run, count(*) FILTER (nth % 5 < 3) OVER (PARTITION BY book_key, block, nth // 5) AS full_n FROM tl),
 ru AS (SELECT book_key, chapter_index, run, slot, position, segment_hash FROM rn WHERE slot < 3 AND full_n = 3)"""
-_ELIGIBLE = f"{_SEG}, fl AS (SELECT DISTINCT book_key, chapter_index FROM seg WHERE {_any(f'lower({_strip(chr(99) + chr(104) + chr(97) + chr(112) + chr(116) + chr(101) + chr(114) + chr(95) + chr(116) + chr(105) + chr(116) + chr(108) + chr(101))})', text.FRONT_TITLES + text.BACK_TITLES)}), cd AS (SELECT book_key AS book_slug, chapter_index, position, id, segment_hash, text, {_words('text')} AS words FROM seg ANTI JOIN fl USING (book_key, chapter_index) WHERE type = 'paragraph' AND {_words('text')} >= 15), cb AS (SELECT *, CASE WHEN words >= 80 THEN 'long' WHEN words >= 35 THEN 'medium' ELSE 'short' END AS band FROM cd)"
+_TITLE = f"lower({_strip('chapter_title')})"
+_ELIGIBLE = f"""{_SEG}, fl AS (SELECT DISTINCT book_key, chapter_index FROM seg WHERE {_any(_TITLE, text.FRONT_TITLES + text.BACK_TITLES)}),
+cd AS (SELECT book_key AS book_slug, chapter_index, position, id, segment_hash, text, {_words('text')} AS words FROM seg ANTI JOIN fl USING (book_key, chapter_index) WHERE type = 'paragraph' AND {_words('text')} >= 15),
+cb AS (SELECT *, CASE WHEN words >= 80 THEN 'long' WHEN words >= 35 THEN 'medium' ELSE 'short' END AS band FROM cd)"""
 _STRATA_LIST = "list_filter([" + ", ".join(f"CASE WHEN {_has('text', p)} THEN '{n}' END" for n, p in text.STRATA.items()) + "], lambda x: x IS NOT NULL)"
 _LOG = "lg AS (SELECT user_id, event_type, event_id AS arrival, floor(epoch(ts) / 3600)::BIGINT - CASE WHEN event_id % 11 = 0 THEN 24 ELSE 0 END AS updated_at, CASE WHEN event_id % 7 = 0 THEN 'undelete' WHEN event_id % 5 = 0 THEN 'delete' ELSE 'upsert' END AS op, value FROM events)"
 _HOST = "regexp_extract(url, '^[a-z]+://([^/]+)', 1)"
@@ -254,8 +257,10 @@ def oracle_sql() -> dict[str, str]:
       c AS (SELECT *, count(*) OVER (PARTITION BY lower(title), lower(lang)) > 1 AS twice, title || CASE WHEN lang <> '' AND NOT regexp_matches(lower(title), '{EDGE[0]}' || lang || '{EDGE[1]}') THEN ' (' || lang || ')' ELSE '' END AS name FROM b)
       SELECT substr(sha256(path), 1, 16) AS id, title, lang AS author_line, CASE WHEN size >= 1000000 THEN replace(format('{{:.1f}} MB', size / 1000000), '.', ',') ELSE greatest(1, round_even(size / 1000, 0)::BIGINT) || ' kB' END AS size,
         name || CASE WHEN twice THEN ' — ' || stem ELSE '' END || '.epub' AS download_name, CASE WHEN twice THEN stem END AS distinguisher FROM c"""
+    safe = lambda x: f"regexp_replace({x}, '{_UNSAFE}', '', 'g')"
+    undotted = rf"regexp_replace(regexp_replace({_strip(safe('title'))}, '^\.+', ''), '\.+\z', '')"
     q["download_names"] = rf"""WITH x AS (SELECT p_partkey, p_type, CASE p_partkey % 3 WHEN 0 THEN ' ' || p_name || '/' || p_brand || ': [sl]  part.' WHEN 1 THEN p_name ELSE '?' END AS title FROM part),
-      y AS (SELECT *, {_collapse(f"regexp_replace(regexp_replace({_strip(f'regexp_replace(title, {chr(39)}{_UNSAFE}{chr(39)}, {chr(39) * 2}, {chr(39)}g{chr(39)})')}, '^\.+', ''), '\.+\z', '')")} AS s, {_strip(f"regexp_replace(p_type, '{_UNSAFE}', '', 'g')")} AS f FROM x),
+      y AS (SELECT *, {_collapse(undotted)} AS s, {_strip(safe('p_type'))} AS f FROM x),
       z AS (SELECT *, CASE WHEN s <> '' THEN s WHEN f <> '' THEN f ELSE 'book' END AS stem FROM y)
       SELECT p_partkey, {_strip(f"substr(CASE WHEN NOT regexp_matches(lower(stem), '{EDGE[0]}sl{EDGE[1]}') THEN stem || ' (sl)' ELSE stem END, 1, 100)")} || '.epub' AS name, CASE WHEN p_partkey % 100 = 1 THEN 'knjiga' WHEN p_partkey % 100 = 2 THEN 'knjigi' WHEN p_partkey % 100 IN (3, 4) THEN 'knjige' ELSE 'knjig' END AS noun FROM z"""
     rows = ", ".join(f"('{t}', {'NULL' if p is None else repr(p)}, '{s}')" for t, p, s in styles.STYLES)
