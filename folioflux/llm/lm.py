@@ -33,8 +33,8 @@ from folioflux.llm.elias_fano import EliasFano, map_arrays, pack_arrays
 from folioflux.llm.shared import bound_batches, local_path, new_folder, write_file
 
 DISCOUNT = 0.75
-#: n-grams of two and more tokens are kept from this count on; the others count for the mass of shorter contexts.
-LEAST = 2
+#: n-grams of two and more tokens are kept from this count on: all of them.
+LEAST = 1
 #: Training tokens (for the vocabulary: distinct ones, at most) that a part of a level has about.
 PART_TOKENS = 1 << 20
 #: Tokens that a task counts before it sends a run.

@@ -83,6 +83,21 @@ def test_scores_are_those_of_dictionaries(spark, monkeypatch, order, part_tokens
         assert r["lm"]["base_score"] == pytest.approx(base, abs=1e-9) and r["lm"]["score"] == pytest.approx(out, abs=2e-4 * n * order)
 
 
+def test_ngrams_that_occur_once_are_kept(spark):
+    rng = random.Random(7)
+    docs = [" ".join(rng.choices([f"w{i}" for i in range(300)], k=80)) for _ in range(40)]
+    sequences = [["", *d.split(), ""] for d in docs]
+    trie = lm.train(spark.createDataFrame([(d,) for d in docs], "text string"))
+    for k in (2, 3):
+        distinct = {tuple(s[i - k + 1 : i + 1]) for s in sequences for i in range(k - 1, len(s))}
+        assert sum(s.n for s in trie.levels[k - 1]) == len(distinct)
+    shared, shuffled = docs[3].split()[10:40], docs[3].split()[10:40]
+    rng.shuffle(shuffled)
+    rows = lm.score(spark.createDataFrame([(" ".join(shared),), (" ".join(shuffled),)], "text string"), trie).collect()
+    found = {r["text"]: r["lm"]["score"] for r in rows}
+    assert found[" ".join(shared)] > found[" ".join(shuffled)] + 25
+
+
 def test_lm_without_training_text(spark):
     trie = lm.train(spark.createDataFrame([], "text string"))
     assert trie.total == 0
