@@ -6,16 +6,18 @@ in front of the ordinary one, so that an ordinary window compresses alike under
 second. A document's windows (half overlapping) are counted by how many bytes they are shorter; a logistic function of the logs of
 these counts, fitted to the labels, is the score. Texts are the only input of a score.
 
-Training takes a bounded sample of labelled rows (SAMPLE); everything else covers all windows of all whole texts.
+Training takes a bounded sample of labelled rows (SAMPLE), whatever their length, and a bounded draw (PIECES) of the ordinary ones'
+pieces for the ordinary dictionary; everything else covers all windows of all whole texts.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import tempfile
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,9 +31,10 @@ from folioflux.llm import bytewords as bw
 from folioflux.llm.columns import with_text_column
 from folioflux.llm.shared import bound_batches, keep
 
-#: Labelled rows that training reads at most: toxic and ordinary ones, those of least hash among texts of at most SAMPLE_BYTES.
+#: Labelled rows that training reads at most: toxic and ordinary ones, those of least hash.
 SAMPLE = 3000, 6000
-SAMPLE_BYTES = 16 << 10
+#: Pieces that the ordinary dictionary is trained on at most, drawn from all pieces of all ordinary texts of the sample, and their bytes.
+PIECES, PIECE_BYTES = 24_000, 512
 #: Words of a window; every second window begins half a window later.
 WINDOW = 12
 TOXIC_BYTES, ORDINARY_BYTES = 2048, 32768
@@ -47,6 +50,38 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_SPACED).split()
 
 
+class Spool(Sequence):
+    """Texts in a file of the task's own temp folder, of which one at a time is in memory; its parts share the file."""
+
+    def __init__(self) -> None:
+        self.file, self.places = tempfile.TemporaryFile(), []
+
+    def append(self, text: str) -> None:
+        data = text.encode()
+        self.places.append((self.file.seek(0, 2), len(data)))
+        self.file.write(data)
+
+    def part(self, chosen: list[int]) -> Spool:
+        out = object.__new__(Spool)
+        out.file, out.places = self.file, [self.places[i] for i in chosen]
+        return out
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def __getitem__(self, i: int) -> str:
+        start, size = self.places[i]
+        self.file.seek(start)
+        return self.file.read(size).decode()
+
+
+def _spooled(texts: Iterable[str]) -> Spool:
+    out = Spool()
+    for text in texts:
+        out.append(text)
+    return out
+
+
 @dataclass
 class Model:
     toxic: bytes
@@ -89,7 +124,7 @@ class Scorer:
         return np.array(out)
 
 
-def _distinct(texts: list[str]) -> list[int]:
+def _distinct(texts: Sequence[str]) -> list[int]:
     """Of near copies only the first: a text goes if one of four minima over its 5-word shingles was there before."""
     seen: set[tuple[int, int]] = set()
     out = []
@@ -114,7 +149,7 @@ def _g2(a: int, n: int, b: int, m: int) -> float:
     return 0.0 if p in (0, 1) else 2 * (part(a, n, a / n) + part(b, m, b / m) - part(a, n, p) - part(b, m, p))
 
 
-def _marking_words(toxic: list[str], ordinary: list[str]) -> Counter:
+def _marking_words(toxic: Sequence[str], ordinary: Sequence[str]) -> Counter:
     """Words of toxic documents, by documents, that are or begin with something far more frequent there.
 
     Texts are split again for each pass: their words' sets together would take many times their size.
@@ -142,6 +177,23 @@ def _marking_words(toxic: list[str], ordinary: list[str]) -> Counter:
     return out
 
 
+def _pieces(texts: Iterable[str], most: int = PIECES) -> list[bytes]:
+    """Of all pieces of all texts, wherever they stand, the `most` of least hash of (text, place)."""
+    marks, pieces, below = np.empty(0, np.uint64), [], np.uint64((1 << 64) - 1)
+    for text in texts:
+        s = b" ".join(_words(text))
+        seed = int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little")
+        own = bw.mix(np.arange(-(-len(s) // PIECE_BYTES), dtype=np.uint64) ^ np.uint64(seed))
+        at = np.flatnonzero(own <= below)
+        marks = np.concatenate([marks, own[at]])
+        pieces += [s[i * PIECE_BYTES : (i + 1) * PIECE_BYTES] for i in at.tolist()]
+        if len(pieces) > 2 * most:
+            least = np.argsort(marks, kind="stable")[:most]
+            marks, pieces = marks[least], [pieces[i] for i in least.tolist()]
+            below = marks[-1]
+    return [pieces[i] for i in np.argsort(marks, kind="stable")[:most].tolist()]
+
+
 def _dictionary(size: int, samples: list[bytes]) -> bytes:
     """A trained dictionary, or, of samples too few to train on, their own last bytes."""
     try:
@@ -167,15 +219,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.n
     return mean, scale, w
 
 
-def fit(texts: list[str], labels: list[int], weights: list[float]) -> Model:
-    """A model from labelled texts. weights: rows of the whole that a text of its class stands for.
+def fit(texts: Sequence[str], labels: list[int], weights: list[float]) -> Model:
+    """A model from labelled texts, read one at a time. weights: rows of the whole that a text of its class stands for.
 
     Without a text of both classes the score is the labels' smoothed mean for every text.
     """
     order = sorted(range(len(texts)), key=lambda i: hashlib.blake2b(texts[i].encode(), digest_size=8).digest())
-    texts, labels, weights = [texts[i] for i in order], [labels[i] for i in order], [weights[i] for i in order]
+    texts = texts if isinstance(texts, Spool) else _spooled(texts)
+    texts, labels, weights = texts.part(order), [labels[i] for i in order], [weights[i] for i in order]
     kept = _distinct(texts)
-    toxic, ordinary = [texts[i] for i in kept if labels[i]], [texts[i] for i in kept if not labels[i]]
+    toxic, ordinary = texts.part([i for i in kept if labels[i]]), texts.part([i for i in kept if not labels[i]])
     if not toxic or not ordinary:
         share = (sum(w for w, y in zip(weights, labels, strict=True) if y) + 0.5) / (sum(weights) + 1)
         n = 2 * (len(STEPS) + 3)
@@ -184,12 +237,7 @@ def fit(texts: list[str], labels: list[int], weights: list[float]) -> Model:
     pieces = [b" " + w + b" " for w, n in sorted(marking.items()) for _ in range(n)]
     np.random.Generator(np.random.PCG64(0)).shuffle(pieces)
     own = _dictionary(TOXIC_BYTES, [b"".join(pieces[i : i + 8]) for i in range(0, len(pieces), 8)]) if pieces else b""
-    plain = []
-    for i in kept:
-        if not labels[i] and len(plain) < 24_000:
-            s = b" ".join(_words(texts[i]))
-            plain += [s[a : a + 512] for a in range(0, min(len(s), 4096), 512)]
-    model = Model(own, _dictionary(ORDINARY_BYTES, plain), [], [], [])
+    model = Model(own, _dictionary(ORDINARY_BYTES, _pieces(ordinary)), [], [], [])
     scorer = Scorer(model.toxic, model.ordinary)
     x = np.array([scorer.features(texts[i]) for i in kept])
     mean, scale, w = fit_logistic(x, np.array([labels[i] for i in kept], float), np.array([weights[i] for i in kept]))
@@ -200,15 +248,16 @@ def fit(texts: list[str], labels: list[int], weights: list[float]) -> Model:
 def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: tuple[int, int] = SAMPLE) -> Model:
     """A model from a bounded sample of documents whose label isn't null, fitted in one task; the model alone comes to the driver.
 
-    Documents and labels meet by id as ids, hashes and sizes; only the sample's texts are moved. A document with several labels is
+    The sample is of at most so many toxic and ordinary rows, of any length. Documents and labels meet by id as ids and hashes; only the
+    sample's texts are moved, and the task that fits holds one of them at a time, the others in a temporary file. A document with several labels is
     toxic if one says so; an id with several texts is sampled as each of them.
     """
     bound_batches(documents.sparkSession)
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max((F.col(label) != 0).cast("int")).alias("label"))
-    narrow = documents.select(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), F.octet_length(F.coalesce(text, F.lit(""))).alias("size"))
+    narrow = documents.select(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"))
     rows = keep(narrow.join(known, "id"), "labelled")
     counts = dict(rows.groupBy("label").count().collect())
-    parts = [rows.where((F.col("label") == value) & (F.col("size") <= SAMPLE_BYTES)).orderBy("h", "id").limit(most).select("id", "h", "label") for value, most in ((1, sample[0]), (0, sample[1]))]
+    parts = [rows.where(F.col("label") == value).orderBy("h", "id").limit(most).select("id", "h", "label") for value, most in ((1, sample[0]), (0, sample[1]))]
     if not counts:
         return fit([], [], [])
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most as many rows as the sample has
@@ -217,9 +266,10 @@ def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
     schema = "toxic binary, ordinary binary, mean array<double>, scale array<double>, weights array<double>"
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, labels = [], []
+        texts, labels = Spool(), []
         for batch in batches:
-            texts += batch.column(0).to_pylist()
+            for text in batch.column(0):
+                texts.append(text.as_py())
             labels += batch.column(1).to_pylist()
         there = Counter(labels)
         m = fit(texts, labels, [counts[y] / there[y] for y in labels])

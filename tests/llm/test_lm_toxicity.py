@@ -137,6 +137,27 @@ def test_held_out_accuracy(spark):
     assert np.mean([s >= 0.3 for s, y in held if y]) > 0.9 and np.mean([s >= 0.3 for s, y in held if not y]) < 0.05
 
 
+def test_long_texts_are_learned_from(spark):
+    rng = random.Random(4)
+    rows = [(i, t if not y else t + " an the of" * 2000 + " " + " ".join(rng.choices(BAD, k=6)), y) for i, t, y in toxic_corpus(150, 4)]
+    assert all(len(t) > 16 << 10 for _, t, y in rows if y)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    m = toxicity.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    assert any(bad[:4].encode() in m.toxic for bad in BAD)
+    short = spark.createDataFrame([("an the of " * 2000 + " ".join(BAD),), ("an the of " * 2000 + "ing er tion re",)], "text string")
+    found = {r["text"][-4:]: r["toxicity_score"] for r in toxicity.score(short, m).collect()}
+    assert found["nger"] > found["n re"]
+
+
+def test_dictionary_pieces_are_from_all_over_a_text():
+    texts = [" ".join(f"w{j}x{i}" for j in range(4000)) for i in range(30)]
+    every = toxicity._pieces(texts)
+    assert sorted(len(p) for p in every)[-1] == toxicity.PIECE_BYTES and sum(map(len, every)) == sum(map(len, texts))
+    some = toxicity._pieces(texts, 60)
+    places = [next(t for t in texts if p.decode() in t).index(p.decode()) for p in some]
+    assert len(some) == 60 and set(some) <= set(every) and min(places) < 10000 and max(places) > 20000
+
+
 def test_training_sees_no_held_out_label(spark):
     rows = toxic_corpus(200, 2)
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
