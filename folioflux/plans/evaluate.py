@@ -33,7 +33,7 @@ def judged(sample: DataFrame, make_judge: Callable[[], Judge], *, repeats: int =
     return sample.mapInPandas(run, schema)
 
 
-def score_books(source: DataFrame, target: DataFrame, make_judge: Callable[[], Judge], *, sample_size: int = 40, seed: int = 42, glossary: DataFrame | None = None, costs: DataFrame | None = None, repeats: int = 1, resamples: int = 500) -> tuple[DataFrame, DataFrame]:
+def score_books(source: DataFrame, target: DataFrame, make_judge: Callable[[], Judge], *, sample_size: int = 40, seed: int = 42, glossary: DataFrame | None = None, costs: DataFrame | None = None, repeats: int = 1, resamples: int = sampling.RESAMPLES) -> tuple[DataFrame, DataFrame]:
     """(dimensions, totals) of each book: rows (book_key, key, name, weight, fraction, ci_low, ci_high) and (book_key, total, noise).
 
     costs: (book_key, cost_eur). Judged are paragraphs of the body, of books with too few of them all paragraphs.
@@ -81,7 +81,7 @@ def plan_experiment(source: DataFrame, controls: DataFrame, *, variant: str, con
     return body.join(chosen, ["book_key", "run"], "left_semi")
 
 
-def run_experiment(runs: DataFrame, variants: DataFrame, make_judge: Callable[[], Judge], *, seed: int = 42, resamples: int = 500) -> DataFrame:
+def run_experiment(runs: DataFrame, variants: DataFrame, make_judge: Callable[[], Judge], *, seed: int = 42, resamples: int = sampling.RESAMPLES) -> DataFrame:
     """Deltas of the variant's texts (book_key, id, target_text) against the controls, runs as clusters: rows (book_key, key, ...)."""
     both = runs.select("book_key", "run", "id", "text", F.col("control").alias("control_text")).join(variants.select("book_key", "id", "target_text"), ["book_key", "id"], "left")
     if both.where("target_text is null").limit(1).count():

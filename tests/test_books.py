@@ -1,10 +1,11 @@
+import inspect
 import io
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from folioflux.operators import store
+from folioflux.operators import sampling, store
 from folioflux.plans import connectors, evaluate, execute, styles
 from folioflux.sources import epub, html
 
@@ -184,6 +185,11 @@ def test_scoring_and_experiment_end_to_end(spark):
         evaluate.run_experiment(plan, target.limit(1).select("book_key", "id", F.col("text").alias("target_text")), judge)
 
 
+def test_intervals_have_the_production_resamples():
+    for f in (evaluate.score_books, evaluate.run_experiment):
+        assert inspect.signature(f).parameters["resamples"].default == sampling.RESAMPLES >= 1000
+
+
 def test_judges_give_up():
     class Mute:
         model = "gpt-5-mini"
