@@ -185,6 +185,27 @@ def test_scoring_and_experiment_end_to_end(spark):
         evaluate.run_experiment(plan, target.limit(1).select("book_key", "id", F.col("text").alias("target_text")), judge)
 
 
+def test_pdf_books_are_screened_and_totals_have_intervals(spark):
+    class Marks(connectors.EchoClient):
+        def complete(self, prompt, *, system=None):
+            n = int(prompt.split("number ")[1].split(".")[0])
+            return self._billed(prompt, f"SCORE: {int(n % 4 > 0)}" if prompt.startswith("EXTRACTION") else f"SCORE: {n % 5 + 1}")
+
+    one = small_book(spark, 60).where("position % 8 <> 0")
+    source = one.unionByName(one.withColumn("book_key", F.lit("p")))
+    formats = spark.createDataFrame([("b", "epub"), ("p", "pdf")], "book_key string, source_format string")
+    rows, totals = evaluate.score_books(source, source, lambda: connectors.Judge(Marks()), sample_size=12, resamples=200, formats=formats)
+    got = {(r["book_key"], r["key"]): r for r in rows.collect()}
+    body = [int(r["text"].split()[2][:-1]) for r in sampling.hash_sample(one, F.col("id"), evaluate.SCREENED, 43).collect()]
+    want = sum(n % 4 > 0 for n in body) / 20
+    assert len(body) == 20 and want < 1 and got["p", "T6"]["fraction"] == pytest.approx(want) and got["b", "T6"]["fraction"] == 1.0
+    assert got["p", "T6"]["ci_low"] < want * 5 < got["p", "T6"]["ci_high"] and got["b", "T6"]["ci_low"] is None
+    total = {r["book_key"]: r for r in totals.collect()}
+    assert all(r["ci_low"] < r["total"] < r["ci_high"] for r in total.values())
+    points = lambda key: sum(got[key, k]["fraction"] * got[key, k]["weight"] for k in ("T1", "T2", "T3", "T5", "T6"))
+    assert {k: r["total"] for k, r in total.items()} == {k: pytest.approx(points(k) / 85 * 100) for k in "bp"} and total["p"]["total"] < total["b"]["total"]
+
+
 def test_intervals_have_the_production_resamples():
     for f in (evaluate.score_books, evaluate.run_experiment):
         assert inspect.signature(f).parameters["resamples"].default == sampling.RESAMPLES >= 1000
