@@ -111,8 +111,10 @@ def pack_lengths(items: DataFrame, capacity: int, *, node_items: int = NODE_ITEM
         moves = merged.select(F.col("uid").alias("sequence_id"), F.col("bin").alias("__to"), F.col("offset").alias("__by"))
         if gained:
             out = out.join(moves, "sequence_id", "left").select("uid", F.coalesce("__to", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("__by", F.lit(0))).alias("offset"))
-        if last or gained * 1000 < waiting:
+        if last or not gained:
             break
+        if round_no % 8 == 0:  # rounds that merge little may be many: their joins stay few
+            out = keep(out, "pack-out")
         bins = state.where("fill is not null").select("uid", F.col("fill").alias("length"))
         nodes = fewer
     return out

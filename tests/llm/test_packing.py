@@ -145,3 +145,9 @@ def test_matrices_give_the_documents_back(spark, coder, chunk, monkeypatch):
     ids = np.fromfile(f"{path}/{first['name']}.ids", "<u2").reshape(first["n_rows"], 50)
     index, lengths = np.fromfile(f"{path}/{first['name']}.index", "<u8"), np.fromfile(f"{path}/{first['name']}.cu_seqlens", "<u4")
     assert len(index) == first["n_rows"] + 1 and index[-1] == len(lengths) and ids.shape[1] == 50
+
+
+def test_rounds_go_on_while_any_bin_is_merged(spark):
+    small = set(random.Random(0).sample(range(2500), 24))
+    items = spark.createDataFrame([(i, 400 if i in small else 600) for i in range(2500)], "uid long, length long")
+    assert residual_pack.pack_lengths(items, 1000, node_items=1).select("sequence_id").distinct().count() == 2500 - 24
