@@ -1,27 +1,29 @@
-"""Toxicity by compression distance: two zstandard dictionaries, windows of words, calibrated thresholds.
-
-The ordinary dictionary is trained on ordinary documents. The toxic dictionary is trained on the parts of toxic documents that set
-them apart - words that are themselves, or begin with a stem that is, significantly more frequent in toxic documents - and is used
-in front of the ordinary one, so that an ordinary window compresses alike under both and a toxic window is shorter under the
-second. A document's windows (half overlapping) are counted by how many bytes they are shorter; a logistic function of the logs of
-these counts, fitted to the labels, is the score. Texts are the only input of a score.
-
-Training takes a bounded sample of labelled rows (SAMPLE), whatever their length, and a bounded draw (PIECES) of the ordinary ones'
-pieces for the ordinary dictionary; everything else covers all windows of all whole texts.
+"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text, windows of words, calibrated thresholds.
+
+Texts are coded word by word: each word (lower-cased, without punctuation) is 32 bytes that depend on nothing but the word. So what a
+compressor matches are whole words and runs of words, and the length of a compressed window says how many of its words and runs a
+dictionary doesn't know, without the noise that chance pieces of words make. For each scale (SCALES: single words, and runs of three,
+one beginning at each word) one dictionary is trained on the toxic texts and one, separately, on the ordinary texts, and loaded with
+its tables. The ordinary one is much larger: what it doesn't hold of that which toxic texts often say, ordinary texts hardly ever
+say. Each window is compressed under the toxic dictionary and, where that holds its words, under the ordinary one, and counted by how
+many bytes it is shorter under the toxic one.
+
+The labelled rows are dealt by hash: most train the dictionaries, the others (HELD of 10), which no dictionary has seen, calibrate
+how many windows beyond which differences make a document toxic, by a logistic function of the counts' logs. Texts are the only
+input of a score. Training takes a bounded sample of labelled rows (SAMPLE), whatever their length, and bounded pieces of their
+texts (PIECES), drawn by hash from all over them; everything else covers all windows of all whole texts.
 """
 
 from __future__ import annotations
 
-import hashlib
+import heapq
 import math
-import tempfile
-import zlib
-from collections import Counter
-from collections.abc import Callable, Iterable, Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,173 +35,145 @@ from folioflux.llm.shared import bound_batches, keep
 
 #: Labelled rows that training reads at most: toxic and ordinary ones, those of least hash.
 SAMPLE = 3000, 6000
-#: Pieces that the ordinary dictionary is trained on at most, drawn from all pieces of all ordinary texts of the sample, and their bytes.
-PIECES, PIECE_BYTES = 24_000, 512
-#: Words of a window; every second window begins half a window later.
-WINDOW = 12
-TOXIC_BYTES, ORDINARY_BYTES = 2048, 32768
-#: A window counts as shorter by at least so many bytes.
-STEPS = 1, 2, 3, 4, 5, 6
-#: Stems are the first bytes of words.
-STEM = 4, 9
-
-_SPACED = bytes(b if b else 0x20 for b in bw.ALPHANUMERIC.tolist())
-
+#: Of 10 parts of the sample those that calibrate instead of training the dictionaries.
+HELD = 2
+#: Pieces that a class's dictionaries are trained on at most, drawn by hash from all pieces of all its texts, and their words.
+PIECES, PIECE_WORDS = 1 << 17, 16
+#: (words of a window, words of a dictionary's segments, bytes of the toxic and of the ordinary dictionary at most, search).
+SCALES = (1, 1, 1 << 17, 1 << 22, zstandard.STRATEGY_FAST), (3, 8, 1 << 16, 1 << 22, zstandard.STRATEGY_GREEDY)
+#: Windows are counted that are shorter by at least so many bytes; a difference below the least can't come from a whole word.
+STEPS = 2, 4, 8, 16, 24
+#: A window whose words a dictionary all holds takes at most so many bytes, for its frame and for each word.
+HELD_BYTES = 25, 4
+#: Words that are coded and compressed at once.
+CHUNK = 1 << 16
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(_SPACED).split()
+_SALTS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+CODE_BYTES = 8 * len(_SALTS)
 
 
-class Spool(Sequence):
-    """Texts in a file of the task's own temp folder, of which one at a time is in memory; its parts share the file."""
+def coded(words: np.ndarray) -> bytes:
+    """32 bytes for each word."""
+    return bw.mix(words[:, None] ^ _SALTS).tobytes()
 
-    def __init__(self) -> None:
-        self.file, self.places = tempfile.TemporaryFile(), []
-
-    def append(self, text: str) -> None:
-        data = text.encode()
-        self.places.append((self.file.seek(0, 2), len(data)))
-        self.file.write(data)
-
-    def part(self, chosen: list[int]) -> Spool:
-        out = object.__new__(Spool)
-        out.file, out.places = self.file, [self.places[i] for i in chosen]
-        return out
 
-    def __len__(self) -> int:
-        return len(self.places)
+@dataclass
+class Model:
+    """For each scale the toxic and the ordinary dictionary, and the logistic function of the features."""
 
-    def __getitem__(self, i: int) -> str:
-        start, size = self.places[i]
-        self.file.seek(start)
-        return self.file.read(size).decode()
+    toxic: list[bytes] = field(default_factory=list)
+    ordinary: list[bytes] = field(default_factory=list)
+    mean: list[float] = field(default_factory=list)
+    scale: list[float] = field(default_factory=list)
+    weights: list[float] = field(default_factory=list)
 
 
-def _spooled(texts: Iterable[str]) -> Spool:
-    out = Spool()
-    for text in texts:
-        out.append(text)
-    return out
+def _compressor(dictionary: bytes, strategy: int) -> zstandard.ZstdCompressor:
+    # all set, as a level stands for another search with every size of dictionary; the tables hold every place of the dictionary
+    places = max(12, len(dictionary).bit_length())
+    how = zstandard.ZstdCompressionParameters(
+        window_log=max(17, places), hash_log=places, chain_log=places, search_log=3, min_match=6, target_length=0, strategy=strategy, write_checksum=False, write_content_size=False, write_dict_id=False
+    )
+    if len(dictionary) < 8:
+        return zstandard.ZstdCompressor(compression_params=how)
+    own = zstandard.ZstdCompressionDict(dictionary)
+    own.precompute_compress(compression_params=how)
+    return zstandard.ZstdCompressor(dict_data=own, compression_params=how)
 
 
-@dataclass
-class Model:
-    toxic: bytes
-    ordinary: bytes
-    mean: list[float]
-    scale: list[float]
-    weights: list[float]
+def _windows(bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first word and words of all windows of `size` words; a row with fewer words, but not none, is one window."""
+    words = np.diff(bounds)
+    counts = np.where(words > 0, np.maximum(words - size + 1, 1), 0)
+    row = np.repeat(np.arange(len(counts)), counts)
+    first = np.arange(len(row)) + np.repeat(bounds[:-1] - (np.cumsum(counts) - counts), counts)
+    return row, first, np.minimum(size, words[row])
 
 
 class Scorer:
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        self.plain, self.marked = self._compressor(ordinary), self._compressor(toxic + ordinary)
+    def __init__(self, model: Model):
+        self.pairs = [(_compressor(t, scale[-1]), _compressor(o, scale[-1])) for t, o, scale in zip(model.toxic, model.ordinary, SCALES, strict=True)]
 
     @staticmethod
-    def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-        # all set, as a level stands for another search with every size of dictionary
-        how = zstandard.ZstdCompressionParameters(
-            window_log=17, hash_log=16, chain_log=16, search_log=8, min_match=4, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_checksum=False, write_content_size=False, write_dict_id=False
-        )
-        if len(content) < 8:
-            return zstandard.ZstdCompressor(compression_params=how)
-        own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        own.precompute_compress(compression_params=how)
-        return zstandard.ZstdCompressor(dict_data=own, compression_params=how)
-
-    def features(self, text: str | None) -> np.ndarray:
-        found = _words(text)
-        data = b" " + b" ".join(found) + b" " if found else b" "
-        gaps = np.flatnonzero(np.frombuffer(data, np.uint8) == 0x20)
-        out = []
-        for shift in (0, WINDOW // 2):
-            at = np.unique(np.concatenate([[0], np.arange(shift or WINDOW, max(len(found), 1), WINDOW), [len(gaps) - 1]]))
-            segments = np.empty((max(len(at) - 1, 1), 2), np.uint64)
-            segments[:, 0] = gaps[at[:-1]] if len(at) > 1 else 0
-            segments[:, 1] = gaps[at[1:]] + 1 - gaps[at[:-1]] if len(at) > 1 else 1
-            windows = zstandard.BufferWithSegments(data, segments.tobytes())
-            less = np.array([len(x) for x in self.plain.multi_compress_to_buffer(windows)]) - np.array([len(x) for x in self.marked.multi_compress_to_buffer(windows)])
-            out += [math.log1p(int((less >= t).sum())) for t in STEPS]
-            out += [math.log(len(less)), float(less.max()), math.log1p(float(np.maximum(less, 0).sum()))]
-        return np.array(out)
-
-
-def _distinct(texts: Sequence[str]) -> list[int]:
-    """Of near copies only the first: a text goes if one of four minima over its 5-word shingles was there before."""
-    seen: set[tuple[int, int]] = set()
-    out = []
-    for i, text in enumerate(texts):
-        data = text.encode()
-        h, _, _ = bw.words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), bw.ALPHANUMERIC)
-        s = h if len(h) < 5 else h[:-4] + 3 * h[1:-3] + 5 * h[2:-2] + 7 * h[3:-1] + 11 * h[4:]
-        least = [(j, int(bw.mix(s ^ np.uint64(j * 0x9E3779B97F4A7C15 % (1 << 64))).min())) for j in range(4)] if len(s) else []
-        if not any(x in seen for x in least):
-            out.append(i)
-        seen.update(least)
-    return out
-
-
-def _g2(a: int, n: int, b: int, m: int) -> float:
-    """Log-likelihood ratio of a of n against b of m."""
-    p = (a + b) / (n + m)
-
-    def part(k: int, of: int, q: float) -> float:
-        return (k * math.log(q) if k else 0.0) + ((of - k) * math.log(1 - q) if of - k else 0.0)
-
-    return 0.0 if p in (0, 1) else 2 * (part(a, n, a / n) + part(b, m, b / m) - part(a, n, p) - part(b, m, p))
+    def _shorter(pair: tuple, words: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """By how many bytes windows (in order) are shorter under the toxic dictionary; 0 where that doesn't hold all words."""
+        toxic, ordinary = pair
+        lengths = lambda c, data, at: np.fromiter(map(len, c.multi_compress_to_buffer(zstandard.BufferWithSegments(data, at.tobytes()))), np.int64, len(at))
+        out = np.zeros(len(first), np.int64)
+        cuts = np.append(np.searchsorted(first, np.arange(0, len(words), CHUNK)), len(first))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b > a:
+                begin = int(first[a])
+                data = coded(words[begin : int((first[a:b] + sizes[a:b]).max())])
+                places = np.stack([first[a:b] - begin, sizes[a:b]], 1).astype(np.uint64) * np.uint64(CODE_BYTES)
+                short = lengths(toxic, data, places)
+                held = np.flatnonzero(short <= HELD_BYTES[0] + HELD_BYTES[1] * sizes[a:b])
+                if len(held):
+                    out[a + held] = np.maximum(lengths(ordinary, data, places[held]) - short[held], 0)
+        return out
 
+    def features(self, texts: pa.Array) -> np.ndarray:
+        """A row for each text: the log of its words, and by scale how many windows are shorter by each step (logs), and by how much at most."""
+        data, offsets = bw.buffers(texts)
+        words, _, bounds = bw.words(data, offsets, bw.ALPHANUMERIC)
+        out = [np.log1p(np.diff(bounds))]
+        for (size, *_), pair in zip(SCALES, self.pairs, strict=True):
+            row, first, sizes = _windows(bounds, size)
+            if size == 1:  # equal windows are compressed once
+                distinct, back = np.unique(words, return_inverse=True)
+                less = self._shorter(pair, distinct, np.arange(len(distinct)), np.ones(len(distinct), np.int64))[back]
+            else:
+                less = self._shorter(pair, words, first, sizes)
+            out += [np.log1p(np.bincount(row[less >= t], minlength=len(texts))) for t in STEPS]
+            most = np.zeros(len(texts))
+            if len(row):
+                begins = np.flatnonzero(np.diff(row, prepend=-1))
+                most[row[begins]] = np.maximum.reduceat(less, begins)
+            out.append(most)
+        return np.stack(out, 1)
+
+
+class Pieces:
+    """Of all distinct pieces of texts, wherever they stand, the `most` of least hash."""
+
+    def __init__(self, most: int = PIECES):
+        self.most, self.held, self.below = most, {}, 1 << 64
+
+    def add(self, words: np.ndarray) -> None:
+        raw, step = words.tobytes(), 8 * PIECE_WORDS
+        for a in range(0, len(raw), step):
+            piece = raw[a : a + step]
+            mark = xxhash.xxh3_64_intdigest(piece)
+            if mark < self.below:
+                self.held[mark] = piece
+        if len(self.held) > 2 * self.most:
+            self.held = {mark: self.held[mark] for mark in self.sorted()}
+            self.below = max(self.held)
+
+    def sorted(self) -> list[int]:
+        return heapq.nsmallest(self.most, self.held)
+
+    def dictionary(self, size: int, words: int) -> bytes:
+        """Trained on the pieces, in the order of their hashes, in segments of so many words; of pieces too few to train on, themselves."""
+        samples = [coded(np.frombuffer(self.held[mark], np.uint64)) for mark in self.sorted()]
+        try:
+            return zstandard.train_dictionary(size, samples, k=words * CODE_BYTES, d=8, f=23, accel=1).as_bytes()
+        except (zstandard.ZstdError, ValueError):
+            return b"".join(samples)[-size:]
+
+
+class Distinct:
+    """Tells near copies: a text that shares one of four minima over its 5-word shingles with one before."""
 
-def _marking_words(toxic: Sequence[str], ordinary: Sequence[str]) -> Counter:
-    """Words of toxic documents, by documents, that are or begin with something far more frequent there.
+    def __init__(self) -> None:
+        self.seen: set[tuple[int, int]] = set()
 
-    Texts are split again for each pass: their words' sets together would take many times their size.
-    """
-    sets = lambda texts: (set(_words(t)) for t in texts)
-    beginnings = lambda own: {w[:k] for w in own for k in range(STEM[0], min(len(w), STEM[1]) + 1)} | own
-    n, m = len(toxic), len(ordinary)
-    least = max(3, n // 150)
-    # a table of hashes bounds what is counted exactly: a beginning can't be frequent in a place that isn't
-    places = np.zeros(1 << 22, np.uint32)
-    for own in sets(toxic):
-        at = np.array([zlib.crc32(w) for w in beginnings(own)], np.int64) & (len(places) - 1)
-        places[np.unique(at)] += 1
-    counts: Counter = Counter()
-    for own in sets(toxic):
-        counts.update(w for w in beginnings(own) if places[zlib.crc32(w) & (len(places) - 1)] >= least)
-    counts = Counter({w: k for w, k in counts.items() if k >= least})
-    plain: Counter = Counter()
-    for own in sets(ordinary):
-        plain.update(w for w in beginnings(own) if w in counts)
-    marks = {w for w, k in counts.items() if k / n > 20 * (plain[w] + 0.5) / m and _g2(k, n, plain[w], m) > 20}
-    out: Counter = Counter()
-    for own in sets(toxic):
-        out.update(w for w in own if w in marks or any(w[:k] in marks for k in range(STEM[0], min(len(w), STEM[1]) + 1)))
-    return out
-
-
-def _pieces(texts: Iterable[str], most: int = PIECES) -> list[bytes]:
-    """Of all pieces of all texts, wherever they stand, the `most` of least hash of (text, place)."""
-    marks, pieces, below = np.empty(0, np.uint64), [], np.uint64((1 << 64) - 1)
-    for text in texts:
-        s = b" ".join(_words(text))
-        seed = int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little")
-        own = bw.mix(np.arange(-(-len(s) // PIECE_BYTES), dtype=np.uint64) ^ np.uint64(seed))
-        at = np.flatnonzero(own <= below)
-        marks = np.concatenate([marks, own[at]])
-        pieces += [s[i * PIECE_BYTES : (i + 1) * PIECE_BYTES] for i in at.tolist()]
-        if len(pieces) > 2 * most:
-            least = np.argsort(marks, kind="stable")[:most]
-            marks, pieces = marks[least], [pieces[i] for i in least.tolist()]
-            below = marks[-1]
-    return [pieces[i] for i in np.argsort(marks, kind="stable")[:most].tolist()]
-
-
-def _dictionary(size: int, samples: list[bytes]) -> bytes:
-    """A trained dictionary, or, of samples too few to train on, their own last bytes."""
-    try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
-    except (zstandard.ZstdError, ValueError):
-        return b"".join(samples)[-size:]
+    def new(self, h: np.ndarray) -> bool:
+        s = h if len(h) < 5 else h[:-4] + 3 * h[1:-3] + 5 * h[2:-2] + 7 * h[3:-1] + 11 * h[4:]
+        least = [(j, int(bw.mix(s ^ np.uint64(j * 0x9E3779B97F4A7C15 % (1 << 64))).min())) for j in range(4)] if len(s) else []
+        old = any(x in self.seen for x in least)
+        self.seen.update(least)
+        return not old
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,64 +193,83 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.n
     return mean, scale, w
 
 
-def fit(texts: Sequence[str], labels: list[int], weights: list[float]) -> Model:
-    """A model from labelled texts, read one at a time. weights: rows of the whole that a text of its class stands for.
+def learn(rows: Iterable[tuple[str, int, int]]) -> tuple[list[bytes], list[bytes], list[int]]:
+    """From (text, label, hash) in the order of the hashes: toxic and ordinary dictionaries by scale, and hashes of rows to calibrate by.
 
-    Without a text of both classes the score is the labels' smoothed mean for every text.
+    Texts are read one at a time. Near copies of a text before neither train nor calibrate. A class of which no row falls to one of the two
+    purposes, as it has too few, serves both with all its rows.
     """
-    order = sorted(range(len(texts)), key=lambda i: hashlib.blake2b(texts[i].encode(), digest_size=8).digest())
-    texts = texts if isinstance(texts, Spool) else _spooled(texts)
-    texts, labels, weights = texts.part(order), [labels[i] for i in order], [weights[i] for i in order]
-    kept = _distinct(texts)
-    toxic, ordinary = texts.part([i for i in kept if labels[i]]), texts.part([i for i in kept if not labels[i]])
-    if not toxic or not ordinary:
-        share = (sum(w for w, y in zip(weights, labels, strict=True) if y) + 0.5) / (sum(weights) + 1)
-        n = 2 * (len(STEPS) + 3)
-        return Model(b"", b"", [0.0] * n, [1.0] * n, [0.0] * n + [math.log(share / (1 - share))])
-    marking = _marking_words(toxic, ordinary)
-    pieces = [b" " + w + b" " for w, n in sorted(marking.items()) for _ in range(n)]
-    np.random.Generator(np.random.PCG64(0)).shuffle(pieces)
-    own = _dictionary(TOXIC_BYTES, [b"".join(pieces[i : i + 8]) for i in range(0, len(pieces), 8)]) if pieces else b""
-    model = Model(own, _dictionary(ORDINARY_BYTES, _pieces(ordinary)), [], [], [])
-    scorer = Scorer(model.toxic, model.ordinary)
-    x = np.array([scorer.features(texts[i]) for i in kept])
-    mean, scale, w = fit_logistic(x, np.array([labels[i] for i in kept], float), np.array([weights[i] for i in kept]))
-    model.mean, model.scale, model.weights = mean.tolist(), scale.tolist(), w.tolist()
-    return model
+    distinct = Distinct()
+    pieces = {(label, held): Pieces() for label in (0, 1) for held in (False, True)}
+    hashes: dict[tuple[int, bool], list[int]] = {key: [] for key in pieces}
+    for text, label, h in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        words, _, _ = bw.words(data, np.array([0, len(data)]), bw.ALPHANUMERIC)
+        if distinct.new(words):
+            key = label, h % 10 < HELD
+            hashes[key].append(h)
+            if not key[1] or not hashes[label, False]:  # held texts only as long as a class has nothing else
+                pieces[key].add(words)
+    training, calibrating = {}, []
+    for label in (0, 1):
+        train, held = (label, False), (label, True)
+        training[label] = pieces[train] if hashes[train] else pieces[held]
+        calibrating += hashes[held] if hashes[held] else hashes[train]
+    toxic = [training[1].dictionary(most, n) for _, n, most, _, _ in SCALES]
+    ordinary = [training[0].dictionary(most, n) for _, n, _, most, _ in SCALES]
+    return toxic, ordinary, calibrating
+
+
+def constant(toxic: int, ordinary: int) -> Model:
+    """The model of labels of one class or none: their smoothed mean for every text."""
+    share, n = (toxic + 0.5) / (toxic + ordinary + 1), 1 + len(SCALES) * (len(STEPS) + 1)
+    return Model([b""] * len(SCALES), [b""] * len(SCALES), [0.0] * n, [1.0] * n, [0.0] * n + [math.log(share / (1 - share))])
 
 
 def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: tuple[int, int] = SAMPLE) -> Model:
-    """A model from a bounded sample of documents whose label isn't null, fitted in one task; the model alone comes to the driver.
+    """A model from a bounded sample of documents whose label isn't null; only dictionaries and features of the sample reach the driver.
 
     The sample is of at most so many toxic and ordinary rows, of any length. Documents and labels meet by id as ids and hashes; only the
-    sample's texts are moved, and the task that fits holds one of them at a time, the others in a temporary file. A document with several labels is
-    toxic if one says so; an id with several texts is sampled as each of them.
+    sample's texts are moved. One task reads them one at a time and trains the dictionaries, many tasks take the calibrating texts'
+    features. A document with several labels is toxic if one says so; an id with several texts is sampled as each of them. Labels of
+    one class, or none, give the same score to every text: their smoothed mean.
     """
-    bound_batches(documents.sparkSession)
+    spark = documents.sparkSession
+    bound_batches(spark)
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max((F.col(label) != 0).cast("int")).alias("label"))
     narrow = documents.select(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"))
     rows = keep(narrow.join(known, "id"), "labelled")
     counts = dict(rows.groupBy("label").count().collect())
+    if len(counts) < 2:
+        return constant(counts.get(1, 0), counts.get(0, 0))
     parts = [rows.where(F.col("label") == value).orderBy("h", "id").limit(most).select("id", "h", "label") for value, most in ((1, sample[0]), (0, sample[1]))]
-    if not counts:
-        return fit([], [], [])
-    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most as many rows as the sample has
+    chosen = keep(parts[0].unionByName(parts[1]), "sample")  # at most as many rows as the sample has: broadcast
     texts = documents.select(F.col(doc_id).alias("id"), F.coalesce(text, F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    both = texts.join(chosen, ["id", "h"]).select("text", "label")
-    schema = "toxic binary, ordinary binary, mean array<double>, scale array<double>, weights array<double>"
+    texts = texts.join(F.broadcast(chosen), ["id", "h"]).select("text", "label", "h")
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, labels = Spool(), []
-        for batch in batches:
-            for text in batch.column(0):
-                texts.append(text.as_py())
-            labels += batch.column(1).to_pylist()
-        there = Counter(labels)
-        m = fit(texts, labels, [counts[y] / there[y] for y in labels])
-        yield pa.RecordBatch.from_arrays([pa.array([m.toxic], pa.binary()), pa.array([m.ordinary], pa.binary()), *[pa.array([x], pa.list_(pa.float64())) for x in (m.mean, m.scale, m.weights)]], ["toxic", "ordinary", "mean", "scale", "weights"])
+    def dictionaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((t.as_py(), y.as_py(), h.as_py()) for batch in batches for t, y, h in zip(*batch.columns, strict=True))
+        toxic, ordinary, held = learn(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((toxic, pa.list_(pa.binary())), (ordinary, pa.list_(pa.binary())), (held, pa.list_(pa.int64())))], ["toxic", "ordinary", "held"])
+
+    one = texts.repartition(1).sortWithinPartitions("h", "label").mapInArrow(dictionaries, "toxic array<binary>, ordinary array<binary>, held array<long>").first()
+    model = Model([bytes(x) for x in one[0]], [bytes(x) for x in one[1]])
+    held = spark.createDataFrame([(h,) for h in one[2]], "h long")
+    sent = spark.sparkContext.broadcast(model)
 
-    row = both.repartition(1).mapInArrow(learn, schema).first()
-    return Model(bytes(row[0]), bytes(row[1]), *map(list, row[2:]))
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
+        for batch in batches:
+            for part in bw.slices(batch, "text"):
+                x = scorer.features(part.column(0))
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(x.tolist(), pa.list_(pa.float64()))], ["label", "h", "x"])
+
+    found = sorted(map(tuple, texts.join(F.broadcast(held.distinct()), "h").select("text", "label", "h").mapInArrow(features, "label int, h long, x array<double>").distinct().collect()))
+    y = np.array([r[0] for r in found])
+    stands_for = np.array([counts[0] / max((y == 0).sum(), 1), counts[1] / max((y == 1).sum(), 1)])
+    mean, scale, w = fit_logistic(np.array([r[2] for r in found]), y.astype(float), stands_for[y])
+    model.mean, model.scale, model.weights = mean.tolist(), scale.tolist(), w.tolist()
+    return model
 
 
 def score(documents: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
@@ -289,12 +282,11 @@ def score(documents: DataFrame, model: Model, *, text: str = "text") -> DataFram
 
     def make() -> Callable[[pa.Array], pa.Array]:
         m = sent.value
-        scorer = Scorer(m.toxic, m.ordinary)
+        scorer = Scorer(m)
         mean, scale, w = np.array(m.mean), np.array(m.scale), np.array(m.weights)
 
         def of(texts: pa.Array) -> pa.Array:
-            x = np.array([scorer.features(t) for t in texts.to_pylist()])
-            return pa.array(1 / (1 + np.exp(-np.clip((x - mean) / scale @ w[:-1] + w[-1], -35, 35))))
+            return pa.array(1 / (1 + np.exp(-np.clip((scorer.features(texts) - mean) / scale @ w[:-1] + w[-1], -35, 35))))
 
         return of
 

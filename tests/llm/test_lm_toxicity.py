@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from folioflux.llm import bytewords as bw
 from folioflux.llm import lm, toxicity
 from folioflux.llm.elias_fano import EliasFano, map_arrays, pack_arrays
 
@@ -137,25 +138,102 @@ def test_held_out_accuracy(spark):
     assert np.mean([s >= 0.3 for s, y in held if y]) > 0.9 and np.mean([s >= 0.3 for s, y in held if not y]) < 0.05
 
 
+def phrase_corpus(n, seed):
+    """Toxic texts hold one of six phrases of ordinary words; all their words are as frequent in ordinary texts."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}q" for i in range(400)]
+    phrases = [rng.sample(vocabulary[20:200], rng.randrange(3, 6)) for _ in range(6)]
+    rows = []
+    for i in range(n):
+        w = rng.choices(vocabulary, [1 / (k + 5) for k in range(400)], k=rng.randrange(60, 400))
+        for _ in range(rng.randrange(3, 8)):
+            at = rng.randrange(len(w))
+            w[at:at] = rng.choice(phrases) if i % 6 == 0 else rng.sample(vocabulary[20:200], 4)
+        rows.append((i, " ".join(w), int(i % 6 == 0)))
+    return rows
+
+
+def area(scores, labels):
+    """The chance that a toxic text scores above an ordinary one."""
+    toxic, ordinary = [s for s, y in zip(scores, labels, strict=True) if y], [s for s, y in zip(scores, labels, strict=True) if not y]
+    return np.mean([(a > b) + (a == b) / 2 for a in toxic for b in ordinary])
+
+
+@pytest.mark.parametrize("n", [400, 1200])
+def test_held_out_accuracy_on_phrases_of_ordinary_words(spark, n):
+    rows = phrase_corpus(n, n)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    known = docs.where(toxicity.learnable(docs.doc_id))
+    m = toxicity.train(known, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    seen = {r["doc_id"] for r in known.collect()}
+    found = {r["doc_id"]: r["toxicity_score"] for r in toxicity.score(docs, m).collect()}
+    held = [(found[i], y) for i, _, y in rows if i not in seen]
+    assert area(*zip(*held, strict=True)) > 0.95 and np.mean([s >= 0.3 for s, y in held if y]) > 0.8
+
+
+def test_dictionaries_are_trained_on_whole_texts_of_their_class(spark):
+    code = lambda w: toxicity.coded(bw.words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]), bw.ALPHANUMERIC)[0])
+    rows = toxic_corpus(600, 9)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    m = toxicity.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    for toxic, ordinary in zip(m.toxic, m.ordinary, strict=True):
+        assert toxic[:4] == ordinary[:4] == b"\x37\xa4\x30\xec"  # trained dictionaries, with their tables
+        for word in ("an", "the", "of"):  # both hold what is frequent in both
+            assert code(word) in toxic and code(word) in ordinary
+    assert all(code(w) in m.toxic[0] and code(w) not in m.ordinary[0] for w in BAD)
+
+
 def test_long_texts_are_learned_from(spark):
     rng = random.Random(4)
     rows = [(i, t if not y else t + " an the of" * 2000 + " " + " ".join(rng.choices(BAD, k=6)), y) for i, t, y in toxic_corpus(150, 4)]
     assert all(len(t) > 16 << 10 for _, t, y in rows if y)
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     m = toxicity.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
-    assert any(bad[:4].encode() in m.toxic for bad in BAD)
     short = spark.createDataFrame([("an the of " * 2000 + " ".join(BAD),), ("an the of " * 2000 + "ing er tion re",)], "text string")
     found = {r["text"][-4:]: r["toxicity_score"] for r in toxicity.score(short, m).collect()}
     assert found["nger"] > found["n re"]
 
 
-def test_dictionary_pieces_are_from_all_over_a_text():
-    texts = [" ".join(f"w{j}x{i}" for j in range(4000)) for i in range(30)]
-    every = toxicity._pieces(texts)
-    assert sorted(len(p) for p in every)[-1] == toxicity.PIECE_BYTES and sum(map(len, every)) == sum(map(len, texts))
-    some = toxicity._pieces(texts, 60)
-    places = [next(t for t in texts if p.decode() in t).index(p.decode()) for p in some]
-    assert len(some) == 60 and set(some) <= set(every) and min(places) < 10000 and max(places) > 20000
+def test_only_long_labelled_texts(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(["an", "the", "of", "ing", "re"] + BAD * y, k=8000)), y) for i in range(20) for y in [i % 2]]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    m = toxicity.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    found = {r["doc_id"]: r["toxicity_score"] for r in toxicity.score(docs, m).collect()}
+    assert min(found[i] for i in range(1, 20, 2)) > max(found[i] for i in range(0, 20, 2))
+
+
+def test_pieces_are_from_all_over_texts():
+    texts = [np.random.default_rng(i).integers(0, 1 << 63, 4000).astype(np.uint64) for i in range(30)]
+    every, some = toxicity.Pieces(), toxicity.Pieces(60)
+    for t in [*texts, texts[0]]:
+        every.add(t)
+        some.add(t)
+    assert len(every.sorted()) == 30 * 250 and sum(len(p) for p in every.held.values()) == 30 * 4000 * 8
+    where = {t[a : a + toxicity.PIECE_WORDS].tobytes(): a for t in texts for a in range(0, 4000, toxicity.PIECE_WORDS)}
+    places = [where[some.held[mark]] for mark in some.sorted()]
+    assert some.sorted() == every.sorted()[:60] and min(places) < 1000 and max(places) > 3000
+
+
+def test_windows_are_all_runs_of_words():
+    bounds = np.array([0, 0, 2, 7, 7, 10])
+    for size in (1, 2, 3, 8):
+        row, first, sizes = toxicity._windows(bounds, size)
+        wanted = []
+        for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            wanted += [(i, s, min(size, b - a)) for s in range(a, max(b - size + 1, a + 1))] if b > a else []
+        assert list(zip(row.tolist(), first.tolist(), sizes.tolist(), strict=True)) == wanted
+
+
+def test_lengths_are_those_of_each_window_alone(monkeypatch):
+    monkeypatch.setattr(toxicity, "CHUNK", 50)
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 40, 500).astype(np.uint64)
+    pair = tuple(toxicity._compressor(toxicity.coded(np.arange(n, dtype=np.uint64)), toxicity.SCALES[1][-1]) for n in (20, 30))
+    _, first, sizes = toxicity._windows(np.array([0, 100, 101, 500]), 3)
+    for at, n, less in zip(first, sizes, toxicity.Scorer._shorter(pair, words, first, sizes), strict=True):
+        toxic, ordinary = (len(c.compress(toxicity.coded(words[at : at + n]))) for c in pair)
+        assert less == (max(ordinary - toxic, 0) if toxic <= toxicity.HELD_BYTES[0] + toxicity.HELD_BYTES[1] * n else 0)
 
 
 def test_training_sees_no_held_out_label(spark):
