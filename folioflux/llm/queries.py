@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflux.llm import decontam, licenses, lm, minhash, residual_pack, sharding, token_pack, topk, toxicity, url_filter
-from folioflux.llm.shared import keep
 from folioflux.operators.kept import spread
 
 
@@ -71,8 +70,7 @@ SHARDS = 40
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of nearly equal bytes."""
-    keyed = sharding.with_key(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "text", "doc_id").drop("text")
-    sharded = sharding.histogram_shards(keyed, SHARDS, spread=keep(keyed, "op2"))
+    sharded = sharding.histogram_shards(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), SHARDS, carried=["doc_id"])
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -6,6 +6,10 @@ further, until every splitter meets the tolerance or its cell cannot be divided.
 
 Equal texts are neighbours and share a shard as long as the tolerance allows it; a larger group of copies is divided by the ids'
 hashes, so that one text with a third of all rows still spreads. What comes to the driver is at most about 40 000 counts a round.
+
+Slots number a shard's rows in key order. Tasks number ranges of the key (cells) by themselves, of about CELL_ROWS rows: the first
+bits of a hash, and, where a text has more copies than that, its copies in ranges of their ids' hashes, between the rows before and
+after it. A cell's first slot is the number of rows in the cells before it.
 """
 
 from __future__ import annotations
@@ -28,14 +32,16 @@ def _unsigned(x: int) -> int:
     return x & ((1 << 64) - 1)
 
 
-def with_key(df: DataFrame, text: str, key: str) -> DataFrame:
-    """Adds size (UTF-8 bytes of the text, none for null, plus 16), text_crc32 (null for null) and the key's halves __k1 and __k2."""
-    return df.withColumns({
-        "size": (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long"),
-        "text_crc32": F.crc32(F.col(text).cast("binary")).cast("long"),
-        "__k1": F.xxhash64(text),
-        "__k2": F.xxhash64(key),
-    })
+def with_key(df: DataFrame, text: str, key: str, carried: list[str] | None = None) -> DataFrame:
+    """size (UTF-8 bytes of the text, none for null, plus 16), text_crc32 (null for null), the key's halves __k1 and __k2, and row.
+
+    row: a struct of the input's columns, or of those `carried`, so that no name of theirs can clash with one here.
+    """
+    return df.select(
+        F.struct(*[F.col(f"`{c}`") for c in (df.columns if carried is None else carried)]).alias("row"),
+        (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.col(text).cast("binary")).cast("long").alias("text_crc32"),
+        F.xxhash64(text).alias("__k1"), F.xxhash64(key).alias("__k2"),
+    )
 
 
 def _bits(half: Column, used: int) -> Column:
@@ -115,30 +121,60 @@ def shard_of(bounds: list[tuple[int, int]]) -> Column:
     return search(0, len(bounds)).cast("int")
 
 
-def histogram_shards(df: DataFrame, shards: int, *, key: str = "doc_id", text: str = "text", tolerance: float = 0.01, spread: DataFrame | None = None) -> DataFrame:
-    """The rows with size, text_crc32, shard (0 to shards - 1; contiguous in key order) and slot (gapless from 0 in each shard).
-
-    A null text has size 16, no checksum and a place like any other; a null id is hashed like a value. Rows that are equal in text
-    and id share a shard. Empty and very long texts are no special cases: a text longer than a shard's share fills it alone, and
-    neighbours may stay small or empty. An empty table gives no rows. Of columns named like an added one the added one stays.
-    `spread`: the output of with_key(), if it is kept already; else df is read once for the counts and once for the result.
+def _bounded(df: DataFrame) -> DataFrame:
+    """Broadcast as long as its counted rows are few."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_CELLS else df
+
+
+def _with_cell(df: DataFrame, bits: int, hot: DataFrame | None) -> DataFrame:
+    """Adds cell: a struct that sorts like the key. hot: (prefix, copies: sorted texts' hashes of that prefix with many rows, and bits)."""
+    prefix = _bits(F.col("__k1"), bits)
+    if hot is None:
+        return df.withColumn("cell", F.struct(prefix.alias("prefix"), F.lit(0).alias("before"), F.lit(False).alias("own"), F.lit(0).cast("long").alias("part")))
+    joined = df.withColumn("prefix", prefix).join(hot, "prefix", "left")
+    before = F.coalesce(F.size(F.filter("copies", lambda c: c["__k1"] < F.col("__k1"))), F.lit(0))
+    mine = F.filter("copies", lambda c: c["__k1"] == F.col("__k1"))
+    own = F.coalesce(F.size(mine) > 0, F.lit(False))
+    # the first bits of the second half, as many as the copies ask for
+    part = F.when(own, F.call_function("shiftrightunsigned", _bits(F.col("__k2"), 32), F.lit(32) - F.element_at(mine, 1)["bits"])).otherwise(F.lit(0)).cast("long")
+    return joined.withColumn("cell", F.struct("prefix", F.greatest(before, F.lit(0)).alias("before"), own.alias("own"), part.alias("part"))).drop("prefix", "copies")
+
+
+def _hot(narrow: DataFrame, bits: int, cell_rows: int) -> DataFrame | None:
+    """The texts' hashes with more than cell_rows rows, in arrays by prefix; a prefix has few, as hashes are uniform."""
+    crowded = keep(narrow.groupBy(_bits(F.col("__k1"), bits).alias("prefix")).agg(F.count("*").alias("n")).where(F.col("n") > cell_rows), "crowded")
+    if not crowded.limit(1).count():
+        return None
+    rows = narrow.select(_bits(F.col("__k1"), bits).alias("prefix"), "__k1").join(_bounded(crowded.select("prefix")), "prefix", "left_semi")
+    often = rows.groupBy("prefix", "__k1").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows)
+    width = F.least(F.ceil(F.log2(F.col("n") / cell_rows)), F.lit(31)).cast("int")
+    copies = keep(often.groupBy("prefix").agg(F.array_sort(F.collect_list(F.struct("__k1", width.alias("bits")))).alias("copies")), "copies")
+    return _bounded(copies) if copies.limit(1).count() else None
+
+
+def histogram_shards(df: DataFrame, shards: int, *, key: str = "doc_id", text: str = "text", tolerance: float = 0.01, carried: list[str] | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """The rows with size, text_crc32, shard (0 to shards - 1; contiguous in key order) and slot (from 0 in key order, gapless in each shard).
+
+    A null text has size 16, no checksum (null) and a place like any other; a null id is hashed like a value. Rows that are equal in
+    text and id share a shard; their order among themselves is any. Empty and very long texts are no special cases: a text longer than
+    a shard's share fills it alone, and neighbours may stay small or empty. An empty table gives no rows. Of columns named like an
+    added one the added one stays; any other name may occur. `carried`: columns that the result has beside the added ones, all if None.
     """
-    keyed = with_key(df, text, key) if spread is None else spread
-    narrow = keep(keyed.select("size", "__k1", "__k2"), "shard-keys") if spread is None else spread.select("size", "__k1", "__k2")
+    keyed = with_key(df, text, key, carried)
+    if carried is not None:  # narrow rows are written once; whole ones are read again instead
+        keyed = keep(keyed, "sharded")
+    narrow = keyed.select("size", "__k1", "__k2") if carried is not None else keep(keyed.select("size", "__k1", "__k2"), "shard-keys")
     shard = shard_of(splitters(narrow, shards, tolerance))
-    placed = keyed.withColumn("shard", shard)
-    rows = narrow.count()
-    cells = max(1, -(-rows // shards // CELL_ROWS))
-    cell = F.pmod(F.shiftrightunsigned("__k2", 7), F.lit(cells).cast("long"))
-    placed = placed.withColumn("__cell", cell)
-    counts = narrow.select(shard.alias("shard"), cell.alias("__cell")).groupBy("shard", "__cell").agg(F.count("*").alias("n"))
-    running = Window.partitionBy("shard").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "__cell", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("__offset"))
-    if shards * cells <= MAX_BROADCAST_CELLS:
-        offsets = F.broadcast(offsets)
-    in_cell = Window.partitionBy("shard", "__cell").orderBy("__k1", "__k2")
-    numbered = placed.withColumn("__row", F.row_number().over(in_cell) - 1).join(offsets, ["shard", "__cell"])
-    return numbered.withColumn("slot", (F.col("__offset") + F.col("__row")).cast("long")).drop("__cell", "__offset", "__row", "__k1", "__k2")
+    bits = max(0, (narrow.count() // cell_rows).bit_length())
+    hot = _hot(narrow, bits, cell_rows)
+    counts = _with_cell(narrow.select(shard.alias("shard"), "__k1", "__k2"), bits, hot).groupBy("shard", "cell").agg(F.count("*").alias("n"))
+    running = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = keep(counts.select("shard", "cell", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("offset")), "offsets")
+    in_cell = Window.partitionBy("shard", "cell").orderBy("__k1", "__k2")
+    placed = _with_cell(keyed.withColumn("shard", shard), bits, hot).withColumn("nth", F.row_number().over(in_cell) - 1).join(_bounded(offsets), ["shard", "cell"])
+    added = ["size", "text_crc32", "shard", "slot"]
+    names = [c for c in (df.columns if carried is None else carried) if c not in added]
+    return placed.select(*[F.col(f"row.`{c}`") for c in names], "size", "text_crc32", "shard", (F.col("offset") + F.col("nth")).cast("long").alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -1,38 +1,19 @@
-"""The folder that driver and executors share, and tables and files kept in it.
-
-Jobs cut their lineage by writing a table there and reading it back, so a lost executor costs a re-read, not the whole job.
-"""
+"""Files in the folder that driver and executors share (folioflux.operators.kept has its tables), and small settings."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder: spark.checkpoint.dir, or (only where that is unset, as in tests) a new local folder."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="folioflux-shared-")
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/folioflux/{name}-{uuid.uuid4().hex}"
+from pyspark.sql import SparkSession
 
+from folioflux.operators.kept import keep, new_folder, shared_dir
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written as Parquet in the shared folder and read back: what follows starts from there."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["bound_batches", "keep", "local_path", "new_folder", "shared_dir", "write_file"]
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -83,6 +64,7 @@ def local_path(uri: str) -> str:
 
         store, path = fs.FileSystem.from_uri(uri)
         folder = tempfile.mkdtemp(prefix="folioflux-copy-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         fs.copy_files(path, f"{folder}/file", source_filesystem=store, destination_filesystem=fs.LocalFileSystem())
         _COPIES[uri] = f"{folder}/file"
     return _COPIES[uri]

@@ -63,3 +63,48 @@ def test_shard_of_counts_boundaries_not_above(spark, n):
     df = spark.createDataFrame([(k, j) for k in (-5, 0, 5, 10, 40, 99) for j in (-1, 0, 1, 4)], "__k1 long, __k2 long")
     for r in df.select("*", sharding.shard_of(bounds).alias("s")).collect():
         assert r["s"] == sum(b <= (r["__k1"], r["__k2"]) for b in bounds)
+
+
+@pytest.mark.parametrize("copies", [0, 300, 1500])
+def test_slots_are_in_key_order_whatever_the_cells(spark, copies):
+    docs = [(i, "hot" if i < copies else "warm" if i < copies * 1.2 else f"text {i // 2}") for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    keyed = {r[0]: (r[1], r[2]) for r in df.selectExpr("doc_id", "xxhash64(text)", "xxhash64(doc_id)").collect()}
+    one = sharding.histogram_shards(df, 4, cell_rows=1 << 30).collect()
+    for cell_rows in (10, 100):
+        many = sharding.histogram_shards(df, 4, cell_rows=cell_rows).collect()
+        check(many, 4)
+        place = lambda rows: sorted((r["doc_id"], r["shard"], r["slot"]) for r in rows)
+        assert place(one) == place(many)
+    in_order = [r["doc_id"] for r in sorted(one, key=lambda r: (r["shard"], r["slot"]))]
+    assert in_order == sorted(keyed, key=keyed.get)
+
+
+def test_clashing_columns(spark):
+    names = ["doc_id", "text", "__k1", "__k2", "row", "cell", "prefix", "copies", "nth", "offset", "size", "a.b"]
+    df = spark.createDataFrame([(i, f"t{i}", *[f"{n}{i}" for n in names[2:]]) for i in range(50)], names)
+    for cell_rows in (4096, 3):
+        rows = sharding.histogram_shards(df, 3, cell_rows=cell_rows).collect()
+        check(rows, 3)
+        assert len(rows) == 50 and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names[2:] if n != "size") and all(r["size"] == 16 + len(r["text"]) for r in rows)
+
+
+def test_query_is_brute_force(spark):
+    """The law and the slots of the registered query, from the texts themselves."""
+    from folioflux.llm import queries
+    from tests.conftest import DATA
+
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op2_sharding(spark, f"{DATA}/sf0.001").collect()}
+    order = docs.selectExpr("doc_id", "text", "xxhash64(text) a", "xxhash64(doc_id) b").orderBy("a", "b").collect()
+    assert len(order) == len(got) == docs.count()
+    sizes = [len(r["text"].encode()) + 16 for r in order]
+    wanted, slots, before = sum(sizes) / queries.SHARDS, Counter(), 0
+    for r, size in zip(order, sizes, strict=True):
+        g = got[r["doc_id"]]
+        assert (g["size"], g["text_crc32"], g["law"], g["grown_shard"]) == (size, zlib.crc32(r["text"].encode()), "bytes", None)
+        # a row lies in the shard that its bytes before belong to, as far as tolerance and its own size allow
+        assert before - 0.01 * wanted - max(sizes) <= (g["shard"] + 1) * wanted and before + size + 0.01 * wanted + max(sizes) >= g["shard"] * wanted
+        assert g["slot"] == slots[g["shard"]]
+        slots[g["shard"]] += 1
+        before += size
