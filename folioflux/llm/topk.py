@@ -1,30 +1,42 @@
 """Exact top-k search by inner product with MaxScore.
 
-The dimensions are terms, a component is a posting's weight. Weights may be negative, so in each shard of the candidates a term's
-bound is the largest contribution that any vector of the shard can get from it. Terms are taken by falling spread of bound. While
-the sum of the bounds of the terms not yet read can still lift a vector over the query's k-th best score, they are essential and
-read for all that are left; after that only the candidates that still compete are probed, term block by term block. What a shard
-keeps per query is its k best, and shards are merged by score, then by smaller id. The result is exact: bounds only spare work.
-
-Queries go out in broadcast blocks of at most QUERY_BLOCK vectors; more queries take more passes over the candidates.
+The dimensions are terms, a component is a posting's weight. The vectors are dealt once to shards of bounded size, which are written
+to the shared folder with their posting lists, term by term, and with each term's least and largest weight there. All queries read
+these shards. As weights may be negative, a term's bound in a shard is how much its contribution can exceed its least one there;
+every vector has the sum of the least ones as its base.
+
+For a query and a shard, terms are sorted by bound. Those of the longest beginning whose bounds together can't lift a vector from
+the base to the query's threshold (its k-th best score so far) are non-essential: a vector needs something of an essential term to
+compete. A shard in which all terms together can't is skipped. The essential terms' postings are traversed for the whole shard;
+of the other terms, largest bound first, only the postings of vectors that still compete are probed. Tasks keep the k best per query,
+and those are merged over all shards by score, then by smaller id. The result is exact: bounds only spare work.
+
+Queries go out in blocks of at most `query_block` vectors, one after the other: a block is broadcast, its results are written, and
+the broadcast is dropped, so the driver holds one block at a time however many there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflux.llm.shared import keep
+
 QUERY_BLOCK = 4096
-#: Vectors of one shard inside a task.
+#: Vectors of one shard.
 SHARD_ROWS = 4096
-#: Terms that are read together.
-TERM_BLOCK = 8
+#: Non-essential terms that are probed together.
+TERM_BLOCK = 4
+#: Sums of products below this are exact in doubles.
+EXACT = 2.0**53
 
-SCHEMA = "query_id long, vec_id long, score long"
+SHARDS = "size long, ids array<long>, postings binary, low array<long>, high array<long>"
+FOUND = "query_id long, vec_id long, score long"
 
 
 def quantise(vector: Column, scale: int) -> Column:
@@ -34,88 +46,139 @@ def quantise(vector: Column, scale: int) -> Column:
     return F.when(fine, F.transform(doubles, lambda x: F.floor(x * scale).cast("long")))
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values and offsets of a list column, as whole float64 numbers."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    offsets = column.offsets.to_numpy()
-    return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.float64), offsets - offsets[0]
-
+def _shard(ids: list[np.ndarray], rows: list[np.ndarray]) -> pa.RecordBatch:
+    matrix = np.concatenate(rows)
+    names, size = np.concatenate(ids), matrix.shape[1]
+    low, high = (matrix.min(0), matrix.max(0)) if size else (np.empty(0, np.int64),) * 2
+    columns = [pa.array([size], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([np.ascontiguousarray(matrix.T).tobytes()], pa.binary()), pa.array([low], pa.list_(pa.int64())), pa.array([high], pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, ["size", "ids", "postings", "low", "high"])
 
-def maxscore(query: np.ndarray, shard: np.ndarray, low: np.ndarray, high: np.ndarray, floor: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the shard that can be among the k best with a score of at least `floor`, and their scores.
 
-    shard: one row for each term (a posting list over the shard's vectors); low, high: its least and largest weight there.
+def _sharded(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Vectors of one length, up to `most` of them, as a row with postings (weights by term, then by vector) and bounds."""
+    held: dict[int, tuple[list, list]] = {}
+    for batch in batches:
+        names, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+        offsets = column.offsets.to_numpy()
+        values = column.values.to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = np.diff(offsets)
+        for size in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == size)
+            matrix = values[offsets[own][:, None] + np.arange(size)] if size else np.empty((len(own), 0), np.int64)
+            at = 0
+            while at < len(own):
+                ids, rows = held.setdefault(size, ([], []))
+                n = min(most - sum(map(len, ids)), len(own) - at)
+                ids.append(names[own[at : at + n]])
+                rows.append(matrix[at : at + n])
+                at += n
+                if sum(map(len, ids)) == most:
+                    yield _shard(*held.pop(size))
+    for ids, rows in held.values():
+        yield _shard(ids, rows)
+
+
+def maxscore(query: np.ndarray, postings: np.ndarray, low: np.ndarray, high: np.ndarray, floor: float, k: int, probed: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of a shard that can be among the k best with a score of at least `floor`, and their scores.
+
+    postings: a row for each term, over the shard's vectors. `probed` gets, if given, the number of postings that were read of the
+    essential terms and of the others.
     """
     a, b = query * low, query * high
-    bound = np.maximum(a, b)
-    order = np.argsort(-np.abs(b - a), kind="stable")
-    rest = np.append(np.cumsum(bound[order][::-1])[::-1], 0.0)
-    least = np.append(np.cumsum(np.minimum(a, b)[order][::-1])[::-1], 0.0)
-    rows, score = np.arange(shard.shape[1]), np.zeros(shard.shape[1])
-    for i in range(0, len(order), TERM_BLOCK):
-        terms = order[i : i + TERM_BLOCK]
-        postings = shard[terms] if len(rows) == shard.shape[1] else shard[np.ix_(terms, rows)]
-        score = score + query[terms] @ postings
-        j = min(i + TERM_BLOCK, len(order))
-        if len(rows) > k:  # what k vectors are sure to reach
-            floor = max(floor, np.partition(score, len(score) - k)[len(score) - k] + least[j])
-        competing = score + rest[j] >= floor
+    least, bound = np.minimum(a, b), np.abs(b - a)
+    base, n = least.sum(), postings.shape[1]
+    seen = probed if probed is not None else []
+    seen[:] = [0, 0]
+    if base + bound.sum() < floor:
+        return np.empty(0, np.int64), np.empty(0, postings.dtype)
+    order = np.argsort(bound, kind="stable")
+    sums = np.cumsum(bound[order])
+    split = int(np.searchsorted(sums, floor - base)) if floor > base else 0
+    others, essential = order[:split], order[split:]
+    seen[0] = len(essential) * n
+    score = query[essential] @ (postings[essential] if split else postings[order]) + least[others].sum()  # what each vector has at least
+    rows, rest = np.arange(n), bound[others].sum()
+    if len(rows) > k:  # k vectors are sure of so much
+        floor = max(floor, np.partition(score, n - k)[n - k])
+    end = split
+    while True:
+        competing = score + rest >= floor
         if not competing.all():
             rows, score = rows[competing], score[competing]
-        if not len(rows):
-            break
-    return rows, score
+        if not end or not len(rows):
+            return rows, score
+        terms = order[max(end - TERM_BLOCK, 0) : end]
+        end -= len(terms)
+        seen[1] += len(terms) * len(rows)
+        score = score + query[terms] @ postings[np.ix_(terms, rows)] - least[terms].sum()
+        rest = bound[order[:end]].sum()
+        if len(rows) > k:
+            floor = max(floor, np.partition(score, len(rows) - k)[len(rows) - k])
+
+
+def _numbers(values: np.ndarray, exact: bool) -> np.ndarray:
+    """Doubles where all sums are exact in them, else whole numbers of any size."""
+    return values.astype(np.float64) if exact else values.astype(object)
 
 
-def _search(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[pa.RecordBatch]:
-    best: dict[int, list[tuple[float, int]]] = {}
+def _search(batches: Iterator[pa.RecordBatch], queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of a task's shards for each query. queries: by length ids and vectors."""
+    best: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for batch in batches:
-        names = batch.column(0).to_numpy(zero_copy_only=False)
-        values, offsets = _matrix(batch.column(1))
-        sizes = np.diff(offsets)
-        for size, (places, matrix) in queries.items():
-            own = np.flatnonzero(sizes == size)
-            for at in range(0, len(own), SHARD_ROWS):
-                rows = own[at : at + SHARD_ROWS]
-                shard = np.ascontiguousarray(values[offsets[rows][:, None] + np.arange(size)].T) if size else np.zeros((0, len(rows)))
-                low, high = (shard.min(1), shard.max(1)) if size else (np.zeros(0), np.zeros(0))
-                for place, query in zip(places.tolist(), matrix, strict=True):
-                    heap = best.setdefault(place, [])
-                    # the query's own row may take one of the places
-                    found, scores = maxscore(query, shard, low, high, -heap[-1][0] if len(heap) == k else -np.inf, k + 1)
-                    mine = names[rows[found]]
-                    other = mine != ids[place]
-                    mine, scores = mine[other], scores[other]
-                    if len(mine) > k:
-                        keep = np.lexsort((mine, -scores))[:k]
-                        mine, scores = mine[keep], scores[keep]
-                    best[place] = sorted([*heap, *zip((-scores).tolist(), mine.tolist(), strict=True)])[:k]
-    for place, heap in best.items():
-        yield pa.RecordBatch.from_arrays([pa.array([int(ids[place])] * len(heap), pa.int64()), pa.array([x[1] for x in heap], pa.int64()), pa.array([int(-x[0]) for x in heap], pa.int64())], ["query_id", "vec_id", "score"])
-
-
-def top_k(vectors: DataFrame, is_query: Column, k: int, *, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 1024, query_block: int = QUERY_BLOCK) -> DataFrame:
+        for size, ids, postings, low, high in zip(*(c for c in batch.columns), strict=True):
+            size = size.as_py()
+            if size not in queries:
+                continue
+            asked, vectors = queries[size]
+            names = np.array(ids.values.to_numpy(zero_copy_only=False), np.int64)
+            least, most = (np.array(x.values.to_numpy(zero_copy_only=False), np.int64) for x in (low, high))
+            whole = np.frombuffer(postings.as_buffer(), np.int64).reshape(size, len(names))
+            widest = max(float(np.abs(least.astype(np.float64)).max(initial=0)), float(np.abs(most.astype(np.float64)).max(initial=0)))
+            reach = np.abs(vectors.astype(np.float64)).sum(1) * widest
+            shard = {exact: [_numbers(x, exact) for x in (whole, least, most)] for exact in {bool(x) for x in reach < EXACT / 4}}
+            for i, (query_id, query) in enumerate(zip(asked.tolist(), vectors, strict=True)):
+                exact = bool(reach[i] < EXACT / 4)
+                heap = best.setdefault((i, size), [])
+                # the query's own row may take one of the places
+                rows, scores = maxscore(_numbers(query, exact), *shard[exact], -heap[-1][0] if len(heap) == k else -float("inf"), k + 1)
+                mine = names[rows]
+                other = mine != query_id
+                mine, scores = mine[other], scores[other]
+                if len(mine) > k:
+                    first = np.lexsort((mine, -scores.astype(np.float64)))[:k] if exact else np.array(sorted(range(len(mine)), key=lambda j: (-scores[j], mine[j]))[:k])
+                    mine, scores = mine[first], scores[first]
+                best[i, size] = sorted([*heap, *((-int(s), n) for s, n in zip(scores.tolist(), mine.tolist(), strict=True))])[:k]
+    clamp = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    for (i, size), heap in best.items():
+        n = len(heap)
+        yield pa.RecordBatch.from_arrays([pa.array([int(queries[size][0][i])] * n, pa.int64()), pa.array([x[1] for x in heap], pa.int64()), pa.array([clamp(-x[0]) for x in heap], pa.int64())], ["query_id", "vec_id", "score"])
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int, *, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 1024, query_block: int = QUERY_BLOCK, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """For each row that is_query holds for, its k best other rows: query_id, rank (from 1), vec_id, score (long).
 
-    Scores are inner products of floor(scale * component); sums of products stay exact below 2**53. Ties go to the smaller id. Null
-    ids, null vectors and vectors with null or non-finite components take no part. Vectors meet only vectors of their own length; an
-    empty vector scores 0 with the others. Repeated ids: a row never meets rows of its own id; a repeated candidate takes a place for
-    each row; a query id that is repeated is answered once for each different vector, merged under the id. No rows: no result.
+    Scores are inner products of floor(scale * component), as whole numbers; one beyond 64 bits becomes the nearest long. Ties go to the
+    smaller id. Null ids, null vectors and vectors with null or non-finite components take no part. Vectors meet only vectors of
+    their own length; an empty vector scores 0 with the others. Repeated ids: a row never meets rows of its own id; a repeated
+    candidate takes a place for each row; a query id that is repeated is answered once for each different vector, merged under the id.
+    No rows: no result. Other columns take no part.
     """
     spark = vectors.sparkSession
     clean = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), quantise(F.col(embedding), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where("vec_id is not null and v is not null")
+    shards = keep(clean.select("vec_id", "v").mapInArrow(lambda batches: _sharded(batches, shard_rows), SHARDS), "shards")
     asked = clean.where("q").select("vec_id", "v").distinct()
     blocks = max(1, -(-asked.count() // query_block))
-    found = None
+    asked = keep(asked.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")), "asked", by="block")
+    found = []
     for block in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).collect()
-        ids = np.array([r[0] for r in rows], np.int64)
-        by_size: dict[int, list[int]] = {}
-        for i, r in enumerate(rows):
-            by_size.setdefault(len(r[1]), []).append(i)
-        sent = spark.sparkContext.broadcast((ids, {n: (np.array(own), np.array([rows[i][1] for i in own], np.float64).reshape(len(own), n)) for n, own in by_size.items()}))
-        part = clean.select("vec_id", "v").mapInArrow(lambda batches, sent=sent: _search(batches, *sent.value, k), SCHEMA)
-        found = part if found is None else found.unionByName(part)
+        queries: dict[int, tuple[list, list]] = {}
+        for r in asked.where(F.col("block") == block).collect():  # about query_block of them
+            names, rows = queries.setdefault(len(r["v"]), ([], []))
+            names.append(r["vec_id"])
+            rows.append(r["v"])
+        sent = spark.sparkContext.broadcast({n: (np.array(names, np.int64), np.array(rows, np.int64).reshape(len(rows), n)) for n, (names, rows) in queries.items()})
+        found.append(keep(shards.mapInArrow(lambda batches, sent=sent: _search(batches, sent.value, k), FOUND), "found"))
+        sent.unpersist()
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    merged = reduce(DataFrame.unionByName, found)
+    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -19,13 +19,12 @@ def words(t):
 
 
 @pytest.mark.parametrize("block", [4096, 3])
-def test_topk_is_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(topk, "SHARD_ROWS", 64)
+def test_topk_is_brute_force(spark, block):
     rng = np.random.default_rng(1)
     vectors = rng.normal(size=(300, 24)).round(2)
     vectors[50:60] = vectors[40]  # ties
     rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(vectors)]
-    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, 10, query_block=block).collect()
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, 10, query_block=block, shard_rows=64).collect()
     q = np.floor(1024 * vectors.astype(np.float32).astype(np.float64)).astype(np.int64)
     for i in range(0, 300, 20):
         best = sorted((-int(q[i] @ q[j]), j) for j in range(300) if j != i)[:10]
@@ -42,6 +41,54 @@ def test_topk_edge_rows(spark):
     assert topk.top_k(df, F.lit(None).cast("boolean"), 3).count() == 0
 
 
+def test_only_competing_vectors_are_probed():
+    """Against all products: what maxscore returns is complete, and non-essential postings are read for survivors alone."""
+    rng = np.random.default_rng(3)
+    spread = np.r_[np.full(8, 400), np.full(56, 15)]
+    shard = np.rint(rng.normal(size=(64, 4000)) * spread[:, None])
+    low, high = shard.min(1), shard.max(1)
+    for i in range(20):
+        query = shard[:, i] * rng.choice([1, -1])
+        all_scores = query @ shard
+        floor = np.sort(all_scores)[-11]
+        counts = []
+        rows, scores = topk.maxscore(query, shard, low, high, floor, 11, counts)
+        assert (scores == all_scores[rows]).all() and set(np.flatnonzero(all_scores >= floor)) <= set(rows.tolist())
+        essential, others = counts
+        # the bounds of terms with small weights can't reach the threshold: they are probed for few of the 4000 vectors
+        assert essential % 4000 == 0 and essential < 64 * 4000 and 0 < others < (64 * 4000 - essential) // 4
+        counts = []
+        rows, _ = topk.maxscore(query, shard, low, high, np.maximum(query * low, query * high).sum() + 1, 11, counts)
+        assert len(rows) == 0 and counts == [0, 0]  # a shard that can't compete isn't read
+
+
+def test_bounds_are_stored_with_fixed_shards(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(topk, "keep", lambda df, name, keep=topk.keep, **how: written.append((name, keep(df, name, **how))) or written[-1][1])
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(230)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(1)
+    got = topk.top_k(df, F.col("vec_id") % 10 == 0, 5, query_block=1, shard_rows=50)
+    assert got.count() == 23 * 5 and [n for n, _ in written].count("shards") == 1 and [n for n, _ in written].count("found") == 23
+    for r in dict(written)["shards"].collect():
+        matrix = np.frombuffer(r["postings"], np.int64).reshape(r["size"], len(r["ids"]))
+        assert len(r["ids"]) <= 50 and r["low"] == matrix.min(1).tolist() and r["high"] == matrix.max(1).tolist()
+
+
+def test_blocks_leave_nothing_behind_on_the_driver(spark, monkeypatch):
+    dropped = []
+    monkeypatch.setattr("pyspark.core.broadcast.Broadcast.unpersist", lambda self, blocking=False: dropped.append(len(self.value)))
+    rows = [(i, [float(i % 7), float(i % 5)]) for i in range(100)]
+    assert topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(True), 3, query_block=5).count() == 300
+    assert len(dropped) == 20
+
+
+def test_large_weights_stay_exact(spark):
+    rows = [(0, [2.0**21, 1.0]), (1, [2.0**21, 1.0]), (2, [2.0**21, 1.0 + 1 / 1024]), (3, [1e300, 1.0]), (4, [-1.0, 0.0])]
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(True), 10).collect()}
+    assert got[0, 1] == 2**62 + 2**20 and got[0, 2] == 2**62 + 2**20 + 1024 and got[0, 3] == (1 << 63) - 1 and got[0, 4] == -(2**41)
+
+
 # ---- decontamination
 
 
