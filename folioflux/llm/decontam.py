@@ -4,22 +4,26 @@ Words are runs of [0-9a-z] and of characters beyond ASCII, after A-Z are lower-c
 benchmark item; an item with fewer, but not none, is one window. Document windows whose hash is in the set are verified word by
 word; then the words they cover can be cut from the text, or the document dropped.
 
-The set is broadcast in blocks of at most MAX_BLOCK_BYTES of benchmark text, so what is sent at once has a bound; a larger
-benchmark takes more passes over the documents and gives the same result. Documents are never shuffled.
+The set is broadcast in blocks of at most MAX_BLOCK_BYTES of benchmark text, so what is sent at once has a bound. A larger benchmark
+takes more passes over the documents, one after the other, and gives the same result: each pass writes what it found and drops its
+block before the next one is read, and the findings of the passes are merged at the end. Texts are never shuffled by one pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflux.llm import bytewords as bw
 from folioflux.llm.columns import with_text_column
+from folioflux.llm.shared import keep
 
 MAX_BLOCK_BYTES = 16 << 20
 
@@ -120,22 +124,12 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, text: str
     over bounded segments. With `cut_spans` the covered spans are cut from `text`. Other columns stay; one named `contamination` is
     replaced. An empty benchmark finds nothing.
     """
-    spark = documents.sparkSession
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_bytes))
-    out = documents
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).collect()
-        sent = spark.sparkContext.broadcast([tuple(r) for r in rows])
-
-        def make(sent=sent) -> Callable[[pa.Array], pa.Array]:
-            index = Windows(sent.value, n)
-            return lambda texts: _scanned(texts, index)
-
-        out = with_text_column(out, "__next" if block else "contamination", FOUND, text, make)
-        if block:
-            out = out.withColumn("contamination", _merged(F.col("contamination"), F.col("__next"))).drop("__next")
+    if total <= block_bytes:
+        out = _one_pass(documents, "contamination", text, items, n)[0]
+    else:
+        out = _passes(documents, text, items, n, -(-total // block_bytes))
     if not cut_spans:
         return out
     raw = F.col(text).cast("binary")
@@ -147,6 +141,35 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, text: str
     return out.withColumn(text, F.when(F.size(spans) > 0, F.array_join(parts, "")).otherwise(F.col(text)))
 
 
+def _one_pass(documents: DataFrame, name: str, text: str, items: DataFrame, n: int) -> tuple[DataFrame, Broadcast]:
+    """The documents with what these items find, and the broadcast that it needs."""
+    sent = documents.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])  # as much as a block
+
+    def make() -> Callable[[pa.Array], pa.Array]:
+        index = Windows(sent.value, n)
+        return lambda texts: _scanned(texts, index)
+
+    return with_text_column(documents, name, FOUND, text, make), sent
+
+
+def _passes(documents: DataFrame, text: str, items: DataFrame, n: int, blocks: int) -> DataFrame:
+    """The documents with what all blocks of items find, one pass for each."""
+    numbered = keep(documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.monotonically_increasing_id().alias("uid")), "documents")
+    texts = numbered.select("uid", F.col(f"row.`{text}`").alias("text"))
+    items = keep(items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")), "items", by="block")
+    found = []
+    for block in range(blocks):
+        hits, sent = _one_pass(texts, "found", "text", items.where(F.col("block") == block).select("id", "text"), n)
+        found.append(keep(hits.where("found.n_hit > 0").select("uid", "found"), "found"))
+        sent.unpersist()
+    counted, _ = _one_pass(texts, "none", "text", items.where("false").select("id", "text"), n)
+    hits = reduce(DataFrame.unionByName, found).groupBy("uid").agg(F.collect_list("found").alias("found"))  # one for each block at most
+    joined = numbered.join(counted.select("uid", "none").join(hits, "uid", "left"), "uid")
+    every = F.coalesce(F.col("found"), F.array().cast(T.ArrayType(FOUND)))
+    names = [F.col(f"row.`{c}`") for c in documents.columns if c != "contamination"]
+    return joined.select(*names, F.aggregate(every, F.col("none"), _merged).alias("contamination"))
+
+
 def _merged(one: Column, two: Column) -> Column:
     """What two blocks found: distinct items, and spans that overlap or touch as one."""
     spans = F.array_sort(F.concat(one["spans"], two["spans"]))

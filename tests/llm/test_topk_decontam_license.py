@@ -135,6 +135,18 @@ def test_contamination_is_brute_force(spark, n, block_bytes):
         assert len(covered) == c["n_hit"] and covered == [w for s in c["spans"] for w in words(r["text"])[s["first_word"] : s["first_word"] + s["n_words"]]]
 
 
+def test_blocks_of_a_benchmark_are_dropped_one_by_one(spark, monkeypatch):
+    docs, items = contamination_case(5)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    dropped = []
+    monkeypatch.setattr("pyspark.core.broadcast.Broadcast.unpersist", lambda self, blocking=False: dropped.append(len(self.value)))
+    total = sum(len((t or "").encode()) + 64 for _, t in items)
+    got = decontam.find_contamination(d, b, n=3, block_bytes=total // 20)
+    rows = got.collect()
+    assert len(dropped) >= 20 and sum(dropped) == len(items) and max(dropped) < 8
+    assert all((r["contamination"]["n_words"], r["contamination"]["n_hit"], r["contamination"]["items"]) == brute_contamination(r["text"], items, 3) for r in rows)
+
+
 def test_cutting_removes_the_spans_and_nothing_else(spark):
     item = "one two three four five six seven eight nine ten eleven"
     docs = [(1, f"Before {item.upper()}, after."), (2, "clean text"), (3, item), (4, None)]
