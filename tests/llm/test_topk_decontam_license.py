@@ -181,12 +181,45 @@ def test_expressions(expression, postfix):
     assert licenses.parse_expression(expression) == postfix
 
 
+@pytest.mark.parametrize("expression", ["(MIT OR ISC) WITH LLVM-exception", "GPL-2.0-only WITH (LLVM-exception)", "MIT WITH a WITH b", "MIT OR OR ISC", "AND"])
+def test_what_is_no_expression(expression):
+    assert licenses.parse_expression(expression) is None
+
+
 def test_evaluation_takes_the_freer_of_or_and_the_stricter_of_and():
-    of = lambda e: licenses.evaluate(licenses.parse_expression(e))
+    of = lambda e: licenses.evaluate(licenses.parse_expression(e), licenses.Names())
     assert of("MIT OR GPL-3.0-only")[1] == licenses.restriction("mit")
-    assert of("MIT AND GPL-3.0-only") == ({"mit", "gpl-3.0-only"}, licenses.restriction("gpl"))
-    assert of("GPL-2.0-only WITH Classpath-exception-2.0")[1] == pytest.approx(licenses.restriction("gpl") - licenses.EXCEPTION)
-    assert of("GPL-2.0-only WITH x")[0] == {"gpl-2.0-only"}
+    assert of("MIT AND GPL-3.0-only") == ({"spdx:mit", "spdx:gpl-3.0-only"}, licenses.restriction("gpl"))
+    assert of("GPL-2.0-only WITH Classpath-exception-2.0") == ({"spdx:gpl-2.0-only"}, pytest.approx(licenses.restriction("gpl") - licenses.EXCEPTION))
+    assert of("GPL-2.0+ WITH x") == ({"spdx:gpl-2.0", "spdx-unknown"}, licenses.restriction("gpl"))
+    assert of("banana AND x") == ({"spdx-unknown"}, licenses.UNKNOWN)
+    assert of("LicenseRef-Own OR CC0-1.0") == ({"spdx:licenseref", "spdx:cc0-1.0"}, 0.0)
+    assert len({x.lower() for x in licenses.IDENTIFIERS}) == len(licenses.IDENTIFIERS) < 200
+
+
+def random_expression(rng, depth=3):
+    """An expression's text and its meaning, made together."""
+    if depth == 0 or rng.random() < 0.3:
+        name = rng.choice(["MIT", "ISC", "GPL-3.0-only", "MPL-2.0", "Apache-2.0", "unheard-of"])
+        known = name != "unheard-of"
+        labels, score = ({f"spdx:{name.lower()}"}, licenses.restriction(name)) if known else ({"spdx-unknown"}, licenses.UNKNOWN)
+        if rng.random() < 0.2:
+            return f"{name} {rng.choice(['with', 'WITH'])} LLVM-exception", labels, max(0.0, score - licenses.EXCEPTION), 3
+        return name, labels, score, 3
+    op = rng.choice(["or", "and"])
+    level = {"or": 1, "and": 2}[op]
+    (a, la, sa, pa), (b, lb, sb, pb) = random_expression(rng, depth - 1), random_expression(rng, depth - 1)
+    a = f"({a})" if pa < level or rng.random() < 0.2 and pa != 3 else a
+    b = f"({b})" if pb <= level and pb != 3 else b
+    return f"{a} {rng.choice([op, op.upper()])} {b}", la | lb, (min if op == "or" else max)(sa, sb), level
+
+
+def test_expressions_mean_what_they_were_made_for():
+    rng = random.Random(6)
+    for _ in range(500):
+        text, labels, score, _ = random_expression(rng)
+        got = licenses.evaluate(licenses.parse_expression(text), licenses.Names())
+        assert got == (labels, pytest.approx(score)), text
 
 
 def brute_base(text):
@@ -200,7 +233,7 @@ def brute_base(text):
 
 def test_base_places_are_brute_force(spark):
     rng = random.Random(4)
-    bits = ["CC", "by", "General", "public", "License", "all rights", "reserved", "x", "cc-by", "GNU", "ccby"]
+    bits = ["CC", "by", "General", "public", "License", "all rights", "reserved", "x", "cc-by", "GNU", "ccby", "Lesser", "nc", "sa", "the MIT license"]
     docs = [(i, rng.choice([" ", ".\n", "--"]).join(rng.choice(bits) for _ in range(rng.randrange(0, 40)))) for i in range(200)]
     docs += [(None, "All rights reserved."), (900, None), (901, ""), (902, "cc by cc by cc by")]
     rows = licenses.scan_licenses(spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, licenses int")).collect()
@@ -211,10 +244,20 @@ def test_base_places_are_brute_force(spark):
         assert x["n_words"] == n and [tuple(p) for p in x["places"]] == places
         assert set(p[2] for p in places) <= set(x["labels"]) and x["labels"] == sorted(set(x["labels"])) and 0 <= x["score"] <= 1
         assert (x["score"] > 0) == bool(x["labels"])
+        # overlapping phrases: of each place only what no longer place holds counts
+        every = [(i, i + len(p.split()), label) for p, label in [*licenses.BASE_PHRASES.items(), *licenses.NOTICE_PHRASES.items()] for i in range(n) if words(r["text"])[i : i + len(p.split())] == p.split()]
+        standing = {label for a, b, label in every if not any(c <= a and b <= d and d - c > b - a for c, d, _ in every)}
+        assert set(x["labels"]) == standing | {p[2] for p in places}
+        assert x["score"] == max([licenses.restriction(label) for label in standing], default=0.0)
 
 
 def test_tags_and_notices(spark):
-    docs = [(1, "// SPDX-License-Identifier: (MIT OR Apache-2.0)\ncode"), (2, "SPDX-License-Identifier: AND\n"), (3, "Released under the MIT License."), (4, "spdx license identifier")]
+    docs = [
+        (1, "// SPDX-License-Identifier: (MIT OR Apache-2.0)\ncode"), (2, "SPDX-License-Identifier: AND\n"), (3, "Released under the MIT License."), (4, "spdx license identifier"),
+        (5, "GNU Lesser General Public License"), (6, "SPDX-License-Identifier: banana AND x"), (7, "GNU Lesser General Public License, or the General Public License"),
+    ]
     got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got[1]["labels"] == ["spdx:apache-2.0", "spdx:mit"] and got[1]["expressions"] == ["MIT Apache-2.0 or"] and got[1]["score"] == licenses.restriction("mit")
     assert got[2]["labels"] == ["spdx-invalid"] and got[3]["labels"] == ["mit"] and got[4]["labels"] == ["spdx-invalid"]
+    assert got[5]["labels"] == ["gpl", "lgpl"] and [p["label"] for p in got[5]["places"]] == ["gpl"] and got[5]["score"] == licenses.restriction("lgpl")
+    assert got[6]["labels"] == ["spdx-unknown"] and got[7]["score"] == licenses.restriction("gpl")
