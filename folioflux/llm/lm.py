@@ -8,8 +8,10 @@ probabilities. A successor is found relative to its context: by one search in th
 
 Building: every level is counted over all training texts. Tasks combine what they have counted before anything is shuffled and send
 sorted, compressed runs to the parts of a level, which are ranges of contexts of bounded weight; each part is merged by one task and
-written as one file in the shared folder. What comes to the driver is a few numbers for each file. Scoring maps the files into
-memory, so that all workers of a machine share one copy, and reads what their texts need.
+written as one file in the shared folder. A context that outweighs a part, as a frequent word does, is merged in two levels: ranges of
+its successors by a task each, which leave one run in the shared folder, and these by one task, which then holds each distinct
+successor once. What comes to the driver is a few numbers for each file; the index of a level's files is a file itself. Scoring maps
+the files into memory, so that all workers of a machine share one copy, and reads what their texts need.
 
 Smoothing is interpolated absolute discounting: P(w | context) = max(c - D, 0) / c(context) + rest * P(w | shorter context), with the
 rest of the mass as weight, down to unigrams and a uniform share for all known tokens and one unknown.
@@ -23,14 +25,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflux.llm import bytewords as bw
 from folioflux.llm.columns import with_text_column
 from folioflux.llm.elias_fano import EliasFano, map_arrays, pack_arrays
-from folioflux.llm.shared import bound_batches, local_path, new_folder, write_file
+from folioflux.llm.shared import bound_batches, delete_files, local_path, new_folder, read_file, write_file
 
 DISCOUNT = 0.75
 #: n-grams of two and more tokens are kept from this count on: all of them.
@@ -69,12 +71,17 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 @dataclass
-class Segment:
-    uri: str
-    first: int  # the first hash, or the first context
-    offset: int  # the rank in its level of the first entry
+class Level:
+    """The index is a file with the parts' numbers, first hashes or contexts, the ranks of their first entries, and their entries."""
+
+    folder: str
+    index: str
+    parts: int
     n: int
 
+    def file(self, part: int) -> str:
+        return f"{self.folder}-{part:08d}"
+
 
 @dataclass
 class Trie:
@@ -82,7 +89,14 @@ class Trie:
 
     total: int = 0
     distinct: int = 0
-    levels: list[list[Segment]] = field(default_factory=list)
+    levels: list[Level] = field(default_factory=list)
+
+
+@dataclass
+class Segment:
+    file: dict
+    first: int
+    offset: int
 
 
 class Levels:
@@ -91,7 +105,7 @@ class Levels:
     def __init__(self, trie: Trie):
         self.trie = trie
         self.files: dict[str, dict[str, np.ndarray]] = {}
-        self.firsts = [np.array([s.first for s in level], np.uint64) for level in trie.levels]
+        self.index = [map_arrays(local_path(level.index)) if level.parts else None for level in trie.levels]
 
     def _file(self, uri: str) -> dict[str, np.ndarray]:
         if uri not in self.files:
@@ -102,20 +116,22 @@ class Levels:
             self.files[uri] = arrays
         return self.files[uri]
 
-    def _parts(self, level: int, keys: np.ndarray) -> Iterator[tuple[slice, Segment, dict]]:
-        """The segments that sorted keys fall into."""
-        firsts = self.firsts[level]
-        if not len(firsts):
+    def _parts(self, level: int, keys: np.ndarray) -> Iterator[tuple[slice, Segment]]:
+        """The parts that sorted keys fall into."""
+        index = self.index[level]
+        if index is None or not len(keys):
             return
-        cuts = np.searchsorted(keys, firsts[1:])
-        for segment, a, b in zip(self.trie.levels[level], [0, *cuts], [*cuts, len(keys)], strict=True):
-            if b > a:
-                yield slice(a, b), segment, self._file(segment.uri)
+        at = np.maximum(np.searchsorted(index["firsts"], keys, "right") - 1, 0)
+        edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(keys)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            i = at[a]
+            yield slice(a, b), Segment(self._file(self.trie.levels[level].file(int(index["parts"][i]))), int(index["firsts"][i]), int(index["offsets"][i]))
 
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: unknown) and counts of sorted hashes."""
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        for part, segment, f in self._parts(0, hashes):
+        for part, segment in self._parts(0, hashes):
+            f = segment.file
             own, wanted = f["hashes"], hashes[part]
             at = np.searchsorted(own, wanted)
             at[at == len(own)] = 0
@@ -127,7 +143,8 @@ class Levels:
     def successors(self, level: int, contexts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For contexts (sorted; no negative ones) and ids: rank in the level (-1: not there), discounted probability, rest."""
         rank, p, rest = np.full(len(ids), -1, np.int64), np.zeros(len(ids)), np.ones(len(ids))
-        for part, segment, f in self._parts(level, contexts.astype(np.uint64)):
+        for part, segment in self._parts(level, contexts.astype(np.uint64)):
+            f = segment.file
             local, word = contexts[part] - segment.first, ids[part]
             inside = local < len(f["rests"])
             context, back = np.unique(np.where(inside, local, 0), return_inverse=True)
@@ -146,17 +163,27 @@ class Levels:
         return rank, p, rest
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """All first bytes, then all second ones, and so on: the high bytes of small numbers are long runs then."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _unplanes(raw: bytes, at: int, n: int, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T.copy().view(kind).reshape(n)
+
+
 def _run(part: int, local: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
     """A sorted run of (context in the part or hash, id, count) as compressed bytes."""
     n = np.array([len(ids)], np.int64)
-    step = np.diff(local, prepend=local[:1] * 0)
-    return part, zstandard.ZstdCompressor(level=1).compress(b"".join([n.tobytes(), step.tobytes(), ids.astype(np.uint32).tobytes(), counts.astype(np.uint32).tobytes()]))
+    step = np.diff(local.astype(np.uint64), prepend=np.zeros(1, np.uint64))
+    return part, zstandard.ZstdCompressor(level=1).compress(b"".join([n.tobytes(), _planes(step), _planes(ids.astype(np.uint32)), _planes(counts.astype(np.uint32))]))
 
 
 def _unrun(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    return np.cumsum(np.frombuffer(raw, np.uint64, n, 8), dtype=np.uint64), np.frombuffer(raw, np.uint32, n, 8 + 8 * n), np.frombuffer(raw, np.uint32, n, 8 + 12 * n)
+    return np.cumsum(_unplanes(raw, 8, n, np.uint64), dtype=np.uint64), _unplanes(raw, 8 + 8 * n, n, np.uint32), _unplanes(raw, 8 + 12 * n, n, np.uint32)
 
 
 def _merged(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,9 +223,14 @@ def _build_words(texts: DataFrame, folder: str, bits: int, part_tokens: int) ->
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         hashes, _, counts = _merged(table["run"].to_pylist())
         write_file(f"{folder}/words-{key[0].as_py():08d}", pack_arrays({"hashes": hashes, "counts": counts}))
-        return _file_row(key, len(hashes), counts, part_tokens)
+        return _file_row(key[0].as_py(), len(hashes), counts, part_tokens)
+
+    return sorted(map(tuple, _by_part(texts.mapInArrow(count, _RUNS), 1 << bits).applyInArrow(merge, _FILES).collect()))
 
-    return texts.mapInArrow(count, _RUNS).groupBy("part").applyInArrow(merge, _FILES).orderBy("part").collect()
+
+def _by_part(runs: DataFrame, parts: int) -> GroupedData:
+    """The runs by part, about two parts to a task, so that a task has as much to read at any size of input."""
+    return runs.repartition(-(-parts // 2), "part").groupBy("part")
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], of: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[np.ndarray]:
@@ -219,9 +251,9 @@ def _runs_batch(runs: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int64()), pa.array([r[1] for r in runs], pa.binary())], ["part", "run"])
 
 
-def _file_row(key: tuple, n: int, counts: np.ndarray, part_tokens: int) -> pa.Table:
+def _file_row(part: int, n: int, counts: np.ndarray, part_tokens: int) -> pa.Table:
     marks, weights = _marks(counts, part_tokens)
-    return pa.table({"part": [key[0].as_py()], "n": [n], "tokens": [int(counts.sum())], "marks": pa.array([marks], pa.list_(pa.int64())), "weights": pa.array([weights], pa.list_(pa.int64()))})
+    return pa.table({"part": [part], "n": [n], "tokens": [int(counts.sum())], "marks": pa.array([marks], pa.list_(pa.int64())), "weights": pa.array([weights], pa.list_(pa.int64()))})
 
 
 def token_ids(levels: Levels, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -262,11 +294,15 @@ def contexts_of(levels: Levels, ids: np.ndarray, bounds: np.ndarray, end_id: int
         context = following
 
 
-def _build_level(texts: DataFrame, trie: Trie, level: int, folder: str, starts: np.ndarray, part_tokens: int) -> list[tuple]:
-    sent = texts.sparkSession.sparkContext.broadcast((trie, starts))
+def _build_level(texts: DataFrame, trie: Trie, level: int, folder: str, starts: np.ndarray, weights: np.ndarray, part_tokens: int, last: bool) -> list[tuple]:
+    spark = texts.sparkSession
+    # a part that weighs more than others is merged in so many ranges of successors first; all ranges are numbered through
+    ranges = np.where(weights > 2 * part_tokens, -(-weights // part_tokens), 1)
+    begins = np.cumsum(ranges) - ranges
+    sent = spark.sparkContext.broadcast((trie, starts, ranges, begins))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, cuts = sent.value
+        known, cuts, ranges, begins = sent.value
         levels = Levels(known)
 
         def pairs(part: pa.RecordBatch) -> np.ndarray:
@@ -278,64 +314,103 @@ def _build_level(texts: DataFrame, trie: Trie, level: int, folder: str, starts:
 
         for rows in _gathered(batches, pairs):
             part = np.searchsorted(cuts, rows[:, 0], "right") - 1
-            order = np.argsort(part, kind="stable")
-            part, rows = part[order], rows[order]
-            edges = np.flatnonzero(np.diff(part, prepend=-1, append=len(cuts)))
+            slot = begins[part] + rows[:, 1] * ranges[part] // known.distinct
+            order = np.argsort(slot, kind="stable")
+            slot, part, rows = slot[order], part[order], rows[order]
+            edges = np.flatnonzero(np.diff(slot, prepend=-1, append=begins[-1] + ranges[-1]))
             runs = []
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 packed, counts = np.unique(((rows[a:b, 0] - cuts[part[a]]).astype(np.uint64) << np.uint64(32)) | rows[a:b, 1].astype(np.uint64), return_counts=True)
-                runs.append(_run(int(part[a]), packed >> np.uint64(32), packed & np.uint64(0xFFFFFFFF), counts))
+                runs.append(_run(int(slot[a]), packed >> np.uint64(32), packed & np.uint64(0xFFFFFFFF), counts))
             yield _runs_batch(runs)
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        known, cuts = sent.value
-        i = key[0].as_py()
-        first = int(cuts[i])
-        last = int(cuts[i + 1]) if i + 1 < len(cuts) else sum(s.n for s in known.levels[level - 1])
-        local, ids, counts = _merged(table["run"].to_pylist())
-        often = counts >= LEAST
-        local, ids, counts = local[often].astype(np.int64), ids[often], counts[often]
-        of_context = _counts(known.levels[level - 1], first, last)
-        p = (counts - DISCOUNT) / of_context[local]
-        rests = np.clip(1 - np.bincount(local, p, last - first), 0, 1)
-        pointers = np.searchsorted(local, np.arange(last - first + 1))
-        # each context's ids go on from the last number of the context before
-        begins = np.unique(local, return_index=True)[1]
-        ends = np.append(begins[1:], len(local))
-        steps = np.zeros(len(local), np.uint64)
-        if len(local):
-            steps[begins[1:]] = ids[ends[:-1] - 1].astype(np.uint64) + np.uint64(1)
-        numbers = np.cumsum(steps, dtype=np.uint64) + ids
-        arrays = EliasFano.of(pointers.astype(np.uint64)).arrays("pointers") | EliasFano.of(numbers).arrays("successors")
-        write_file(f"{folder}/level{level + 1}-{i:08d}", pack_arrays(arrays | {"probabilities": quantise(p), "rests": quantise(rests), "counts": counts.astype(np.uint32)}))
-        return _file_row(key, len(ids), counts, part_tokens)
-
-    return texts.mapInArrow(count, _RUNS).groupBy("part").applyInArrow(merge, _FILES).orderBy("part").collect()
-
-
-def _counts(segments: list[Segment], first: int, last: int) -> np.ndarray:
+        known, cuts, ranges, begins = sent.value
+        slot = key[0].as_py()
+        part = int(np.searchsorted(begins, slot, "right")) - 1
+        merged = _merged(table["run"].to_pylist())
+        if ranges[part] == 1:
+            return _finish(known, level, folder, part, cuts, merged, part_tokens, last)
+        write_file(f"{folder}-run{slot:08d}", _run(slot, *merged)[1])
+        return _file_row(-1 - slot, 0, merged[2][:0], part_tokens)
+
+    def join(key: tuple, table: pa.Table) -> pa.Table:
+        known, cuts, _, _ = sent.value
+        merged = _merged([read_file(f"{folder}-run{slot:08d}") for slot in table["slot"].to_pylist()])
+        return _finish(known, level, folder, key[0].as_py(), cuts, merged, part_tokens, last)
+
+    rows = _by_part(texts.mapInArrow(count, _RUNS), int(ranges.sum())).applyInArrow(merge, _FILES).collect()
+    files = [tuple(r) for r in rows if r[0] >= 0]
+    split = [(int(np.searchsorted(begins, -1 - r[0], "right")) - 1, -1 - r[0]) for r in rows if r[0] < 0]
+    if split:
+        files += map(tuple, _by_part(spark.createDataFrame(split, "part long, slot long"), 2 * len({p for p, _ in split})).applyInArrow(join, _FILES).collect())
+        delete_files(spark, [f"{folder}-run{slot:08d}" for _, slot in split])
+    return sorted(files)
+
+
+def _finish(trie: Trie, level: int, folder: str, part: int, cuts: np.ndarray, merged: tuple, part_tokens: int, last: bool) -> pa.Table:
+    """Writes one part of a level from its distinct (context, id) and their counts, which only a further level needs again."""
+    first = int(cuts[part])
+    end = int(cuts[part + 1]) if part + 1 < len(cuts) else trie.levels[level - 1].n
+    local, ids, counts = merged
+    often = counts >= LEAST
+    local, ids, counts = local[often].astype(np.int64), ids[often], counts[often]
+    p = (counts - DISCOUNT) / _counts(Levels(trie), level - 1, first, end)[local]
+    rests = np.clip(1 - np.bincount(local, p, end - first), 0, 1)
+    pointers = np.searchsorted(local, np.arange(end - first + 1))
+    # each context's ids go on from the last number of the context before
+    begins = np.unique(local, return_index=True)[1]
+    ends = np.append(begins[1:], len(local))
+    steps = np.zeros(len(local), np.uint64)
+    if len(local):
+        steps[begins[1:]] = ids[ends[:-1] - 1].astype(np.uint64) + np.uint64(1)
+    numbers = np.cumsum(steps, dtype=np.uint64) + ids
+    arrays = EliasFano.of(pointers.astype(np.uint64)).arrays("pointers") | EliasFano.of(numbers).arrays("successors")
+    write_file(f"{folder}-{part:08d}", pack_arrays(arrays | {"probabilities": quantise(p), "rests": quantise(rests)} | ({} if last else {"counts": counts.astype(np.uint32)})))
+    return _file_row(part, len(ids), counts, part_tokens)
+
+
+def _counts(levels: Levels, level: int, first: int, last: int) -> np.ndarray:
     """The counts of entries first to last of a level."""
-    parts = []
-    for s in segments:
-        a, b = max(first, s.offset), min(last, s.offset + s.n)
+    index, parts = levels.index[level], []
+    offsets, sizes = index["offsets"], index["sizes"]
+    for i in range(max(int(np.searchsorted(offsets, first, "right")) - 1, 0), int(np.searchsorted(offsets, last))):
+        a, b = max(first, int(offsets[i])), min(last, int(offsets[i] + sizes[i]))
         if a < b:
-            parts.append(map_arrays(local_path(s.uri))["counts"][a - s.offset : b - s.offset].astype(np.int64))
+            own = map_arrays(local_path(levels.trie.levels[level].file(int(index["parts"][i]))))["counts"]
+            parts.append(own[a - int(offsets[i]) : b - int(offsets[i])].astype(np.int64))
     return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
 
-def _cuts(files: list[tuple], part_tokens: int) -> np.ndarray:
-    """Where to cut a level's entries so that the parts have about equal counts; an entry with more is a part's last."""
-    out, offset, carried = [0], 0, 0
-    for _, n, total, marks, weights in files:
-        sums = [0, *weights]
-        for mark, weight, before in zip(marks, weights, sums, strict=False):
+def _cuts(files: list[tuple], part_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where to cut a level's entries so that the parts have about equal counts, and the parts' counts.
+
+    An entry with more is a part's last.
+    """
+    out, weights, offset, carried = [0], [], 0, 0
+    for _, n, total, marks, sums in files:
+        for mark, weight, before in zip(marks, sums, [0, *sums], strict=False):
             carried += weight - before
             if carried >= part_tokens and offset + mark > out[-1]:
                 out.append(offset + mark)
+                weights.append(carried)
                 carried = 0
-        carried += total - sums[-1]
+        carried += total - (sums[-1] if sums else 0)
         offset += n
-    return np.array([x for x in out if x < offset or x == 0], np.int64)
+    weights.append(carried)
+    if out[-1] >= offset and len(out) > 1:  # nothing is left behind the last cut
+        out.pop()
+        weights.pop()
+    return np.array(out, np.int64), np.array(weights, np.int64)
+
+
+def _level(folder: str, name: str, files: list[tuple], firsts: list[int]) -> Level:
+    """Writes the index of a level's files."""
+    sizes = np.array([f[1] for f in files], np.int64)
+    arrays = {"parts": np.array([f[0] for f in files], np.int64), "firsts": np.array(firsts, np.uint64), "offsets": np.cumsum(sizes) - sizes, "sizes": sizes}
+    if files:
+        write_file(f"{folder}/{name}-index", pack_arrays(arrays))
+    return Level(f"{folder}/{name}", f"{folder}/{name}-index", len(files), int(sizes.sum()))
 
 
 def train(documents: DataFrame, *, text: str = "text", order: int = 3, part_tokens: int = PART_TOKENS) -> Trie:
@@ -354,21 +429,13 @@ def train(documents: DataFrame, *, text: str = "text", order: int = 3, part_toke
     trie.total, trie.distinct = sum(f[2] for f in files), sum(f[1] for f in files)
     if trie.distinct >= MOST:
         raise ValueError(f"{trie.distinct} distinct tokens don't fit ids of 32 bits")
-    offset, level = 0, []
-    for part, n, *_ in files:
-        level.append(Segment(f"{folder}/words-{part:08d}", part << (64 - bits) if bits else 0, offset, n))
-        offset += n
-    trie.levels.append(level)
+    trie.levels.append(_level(folder, "words", files, [f[0] << (64 - bits) if bits else 0 for f in files]))
     for k in range(1, order):
-        if not trie.levels[-1]:
+        if not trie.levels[-1].n:
             break
-        starts = _cuts(files, part_tokens)
-        files = _build_level(texts, trie, k, folder, starts, part_tokens)
-        offset, level = 0, []
-        for part, n, *_ in files:
-            level.append(Segment(f"{folder}/level{k + 1}-{part:08d}", int(starts[part]), offset, n))
-            offset += n
-        trie.levels.append(level)
+        starts, weights = _cuts(files, part_tokens)
+        files = _build_level(texts, trie, k, f"{folder}/level{k + 1}", starts, weights, part_tokens, k + 1 == order)
+        trie.levels.append(_level(folder, f"level{k + 1}", files, [int(starts[f[0]]) for f in files]))
     return trie
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 
 from folioflux.operators.kept import keep, new_folder, shared_dir
 
-__all__ = ["bound_batches", "keep", "local_path", "new_folder", "shared_dir", "write_file"]
+__all__ = ["bound_batches", "delete_files", "keep", "local_path", "new_folder", "read_file", "shared_dir", "write_file"]
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -51,6 +51,25 @@ def write_file(uri: str, data: bytes) -> None:
     store.move(part, path)
 
 
+def delete_files(spark: SparkSession, uris: list[str]) -> None:
+    """Deletes what no task needs any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for uri in uris:
+        path(uri).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(uri), False)
+
+
+def read_file(uri: str) -> bytes:
+    at = urlparse(uri)
+    if at.scheme in ("", "file"):
+        with open(at.path, "rb") as f:
+            return f.read()
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_input_stream(path) as f:
+        return f.read()
+
+
 _COPIES: dict[str, str] = {}
 
 
