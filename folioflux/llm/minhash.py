@@ -38,7 +38,9 @@ BANDS, ROWS = 40, 5
 #: Sizes of sets within a factor of this are one class.
 SIZE_CLASS = 1.05
 #: Above so many rows a side is joined by a shuffle, not broadcast.
-MAX_BROADCAST_ROWS = 500_000
+MAX_BROADCAST_ROWS = 200_000
+#: Rows of one key that one task of a join handles; the key's one row on the other side is repeated for every so many.
+SALT_ROWS = 1000
 
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 _TABLE: dict[tuple[int, int], np.ndarray] = {}
@@ -162,19 +164,39 @@ def _beyond(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _with_sets(pairs, sets).mapInArrow(beyond, "a long, b long, extra long, shingle long")
 
 
+def _salts(rows: str) -> Column:
+    return F.ceil(F.col(rows) / SALT_ROWS)
+
+
+def _dealt(many: DataFrame, by: str, rows: str) -> DataFrame:
+    """Adds salt: the number of the task, of as many as the key's `rows` ask for, that a row goes to by its column `by`."""
+    return many.withColumn("salt", F.pmod(F.xxhash64(by), _salts(rows)))
+
+
+def _repeated(one: DataFrame, rows: str) -> DataFrame:
+    """The one row of a key for each salt."""
+    return one.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), _salts(rows) - 1)))
+
+
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    first = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    return first.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    """Pairs with both sets. A pivot is the first of any number of pairs: those are dealt over tasks, its set is repeated for each."""
+    counts = pairs.groupBy("a").agg(F.count("*").alias("rows"))
+    counted = pairs.select("a", "b").join(counts.where(F.col("rows") > SALT_ROWS), "a", "left").withColumn("rows", F.coalesce("rows", F.lit(1)))
+    first = _repeated(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).join(counts, "a"), "rows").drop("rows")
+    second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    # the second set first: what is dealt by pivots then has its whole size
+    return _dealt(counted, "b", "rows").join(second, "b").join(first, ["a", "salt"]).select("a", "b", "x", "y")
 
 
 def _hidden_pairs(members: DataFrame, compared: DataFrame, labels: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """Pairs (a, b) of one bucket and different components, none of them its pivot, that can be links by step 5."""
     above, below = similarity
     enough = lambda common, n, m: F.lit(above + below) * common >= F.lit(above) * (n + m)
-    labelled = members.where("n > 2").select("key", "node", "pivot").join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    labelled = members.where("n > 2").select("key", "node", "pivot", F.col("n").alias("rows")).join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_keys = _repeated(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.any_value("rows").alias("rows")).where("low <> high"), "rows").select("key", "salt")
     known = compared.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("n_b").alias("n"), F.col("common").alias("c"))
-    rows = keep(labelled.join(open_keys, "key", "left_semi").join(known, ["pivot", "node"]), "open")
+    opened = _dealt(labelled, "node", "rows").join(open_keys, ["key", "salt"], "left_semi").drop("rows", "salt")
+    rows = keep(opened.join(known, ["pivot", "node"]), "open")
     # min(c) alone is enough: for the smaller (or equal) y at least twice its size is needed, which few but those linked to o have
     size_class = lambda n: F.floor(F.log(n) / math.log(SIZE_CLASS)).cast("int")
     index = rows.where(enough(F.col("c"), F.col("n"), F.col("n"))).select("key", F.col("node").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"), size_class(F.col("n")).alias("class"))
@@ -217,8 +239,8 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     members = keep(buckets.join(F.broadcast(shared) if shared.count() <= MAX_BROADCAST_ROWS else shared, "key"), "members")
     weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
     weighted = members.join(weights, "node")
-    pivots = weighted.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("less"))).alias("p")).select("key", (-F.col("p.less")).alias("pivot"))
-    members = keep(members.join(pivots, "key"), "members")
+    pivots = weighted.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("less"))).alias("p"), F.any_value("n").alias("n")).select("key", (-F.col("p.less")).alias("pivot"), "n")
+    members = keep(_dealt(members, "node", "n").join(_repeated(pivots, "n").drop("n"), ["key", "salt"]).drop("salt"), "members")
     pairs = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     wanted = keep(nodes.select("node", "digest").join(weights.select("node"), "node", "left_semi"), "wanted")
     repeated = keep(full.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")

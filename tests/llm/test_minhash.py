@@ -71,8 +71,10 @@ def test_components_are_those_of_all_pairs(spark, seed, size):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
 
 
-def test_hidden_links_are_found_in_buckets(spark):
+@pytest.mark.parametrize("salt_rows", [minhash.SALT_ROWS, 3])
+def test_hidden_links_are_found_in_buckets(spark, monkeypatch, salt_rows):
     """Bands of one row put nearly everything into common buckets, so that most links aren't with a pivot."""
+    monkeypatch.setattr(minhash, "SALT_ROWS", salt_rows)
     docs = corpus(5)
     rows = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), size=2, bands=40, rows=1).collect()
     assert {r["doc_id"]: r["component_id"] for r in rows} == {d: c for d, (_, c) in brute(docs, 2).items()}
