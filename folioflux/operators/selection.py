@@ -38,20 +38,28 @@ def book_quotas(candidates: DataFrame, tier: str) -> dict[str, int]:
     return allot(counts, TIERS[tier], BOOK_FLOORS[tier])
 
 
-def band_quotas(candidates: DataFrame, quotas: dict[str, int]) -> dict[tuple[str, str], int]:
-    """Places by (book, band): each book's quota over the bands that it has, at least one each."""
-    rows = candidates.groupBy("book_slug", "band").count().collect()
+def band_quotas(candidates: DataFrame, quotas: DataFrame, default: int = 0) -> DataFrame:
+    """(book_slug, band, n, quota): each book's quota (book_slug, quota; `default` if it has none) over its bands, at least one each.
+
+    Books are allotted each by itself: a row for each of a book's few bands comes together.
+    """
+    counts = candidates.groupBy("book_slug", "band").agg(F.count("*").alias("n")).join(quotas, "book_slug", "left").withColumn("quota", F.coalesce("quota", F.lit(default)).cast("int"))
     order = [b[0] for b in BANDS]
-    out = {}
-    for slug, quota in quotas.items():
-        counts = {band: n for band in order for s, b, n in rows if s == slug and b == band}
-        out |= {(slug, band): n for band, n in allot(counts, quota, 1).items()}
-    return out
+
+    def of_book(rows: pd.DataFrame) -> pd.DataFrame:
+        counts = {band: int(n) for _, band, n in sorted(zip(rows["band"].map(order.index), rows["band"], rows["n"], strict=True))}
+        places = allot(counts, int(rows["quota"].iloc[0]), 1)
+        return rows.assign(quota=rows["band"].map(places))
+
+    return counts.groupBy("book_slug").applyInPandas(of_book, "book_slug string, band string, n long, quota int")
+
+
+def _quota_rows(spark: SparkSession, quotas: dict[str, int]) -> DataFrame:
+    return spark.createDataFrame(list(quotas.items()), "book_slug string, quota int")
 
 
 def quota_table(spark: SparkSession, candidates: DataFrame, tier: str) -> DataFrame:
-    quotas = book_quotas(candidates, tier)
-    return spark.createDataFrame([(s, b, n) for (s, b), n in band_quotas(candidates, quotas).items()], "book_slug string, band string, quota int")
+    return band_quotas(candidates, _quota_rows(spark, book_quotas(candidates, tier))).select("book_slug", "band", "quota")
 
 
 def select(candidates: DataFrame, tier: str, seed: int = SEED) -> DataFrame:
@@ -63,7 +71,7 @@ def select(candidates: DataFrame, tier: str, seed: int = SEED) -> DataFrame:
     """
     size = TIERS[tier]
     quotas = book_quotas(candidates, tier)
-    bands = band_quotas(candidates, quotas)
+    bands = {(r["book_slug"], r["band"]): r["quota"] for r in quota_table(candidates.sparkSession, candidates, tier).collect()}  # a row for each book and band
     rarity = {r[0]: r[1] for r in candidates.select(F.explode("strata").alias("s")).groupBy("s").count().collect()}
     order = sorted(STRATA, key=lambda s: rarity.get(s, 0))
     mark = F.sha1(F.concat_ws(":", F.lit(f"{seed}:{tier}"), "book_slug", F.col("chapter_index").cast("string"), F.col("position").cast("string")).cast("binary"))

@@ -97,8 +97,7 @@ _SCENE = rf"""({_words('t')} <= 6 AND {_INCOMPLETE} AND (regexp_matches(t, '^({'
 
 _PAIRS = "cv AS (SELECT conv_id AS book_key, turn AS position, role, text, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), pr AS (SELECT book_key, position, text, CASE WHEN nr = 'assistant' THEN nt END AS target_text FROM cv WHERE role = 'user')"
 _VERDICT = "vd AS (SELECT l.doc_id, source, lang, quality, toxic FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE quality IS NOT NULL AND toxic IS NOT NULL)"
-_SAMPLE = f"""{_VERDICT}, mk AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sha1('42:' || doc_id)) AS nth FROM vd),
-sm AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM mk WHERE nth <= 20)"""
+_SAMPLE = f"{_VERDICT}, sm AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM vd)"
 
 
 def _draws(seed: int, resamples: int) -> str:
@@ -173,18 +172,32 @@ def oracle_sql() -> dict[str, str]:
       c AS (SELECT book_key, parity, margin, count(*) AS n, min((page_index, line_no)) AS f FROM e GROUP BY 1, 2, 3), w AS (SELECT book_key, margin, sum(n) AS n, min(f) AS f FROM c GROUP BY 1, 2),
       whole AS (SELECT book_key, margin FROM w QUALIFY row_number() OVER (PARTITION BY book_key ORDER BY n DESC, f) = 1), own AS (SELECT book_key, parity, margin FROM c QUALIFY row_number() OVER (PARTITION BY book_key, parity ORDER BY n DESC, f) = 1)
       SELECT whole.book_key, p.parity::INTEGER AS parity, coalesce(own.margin, whole.margin) AS margin FROM whole CROSS JOIN (VALUES (0), (1)) p(parity) LEFT JOIN own ON own.book_key = whole.book_key AND own.parity = p.parity"""
-    q["dehyphenate_pairs"] = rf"""WITH x AS (SELECT doc_id, line_no::INTEGER AS line_no, substr(text, 1, 10) AS a, substr(text, 11) AS b FROM ({_LINES}) WHERE length(text) > 12)
-      SELECT doc_id, line_no, substr(CASE WHEN regexp_matches(a, '\p{{L}}\z') AND regexp_matches(b, '^\p{{L}}') THEN a || CASE WHEN regexp_matches(b, '^\p{{Lu}}') THEN '-' ELSE '' END || b ELSE '-' END, 1, 20) AS joined FROM x"""
+    q["dehyphenate_pairs"] = rf"""WITH x AS (SELECT doc_id, line_no::INTEGER AS line_no, substr(text, 1, (length(text) + 1) // 2) AS a, substr(text, (length(text) + 1) // 2 + 1) AS b FROM ({_LINES})),
+      y AS (SELECT doc_id, line_no, CASE WHEN regexp_matches(a, '\p{{L}}\z') AND regexp_matches(b, '^\p{{L}}') THEN a || CASE WHEN regexp_matches(b, '^\p{{Lu}}') THEN '-' ELSE '' END || b ELSE '-' END AS j FROM x)
+      SELECT doc_id, line_no, length(j)::BIGINT AS n_chars, sha1(j) AS joined_sha1 FROM y"""
     q["line_shapes"] = rf"""WITH {_TEXTS} SELECT doc_id, line_no::INTEGER AS line_no, {_TITLE_CASED} AS title_cased, {_WORDLIKE} AS wordlike, (len({_TOKENS}) = 0 OR {_REAL} < greatest(1.0, 0.25 * len({_TOKENS}))) AS gibberish, {_INCOMPLETE} AS incomplete,
       regexp_matches(text, '^\P{{L}}*\p{{Ll}}') AS lowercase, {_PAGENO} AS page_number, {_GARBLED} AS garbled, ({_EMPTY} OR {_PAGENO} OR {_DIGIT}) AS droppable, {_EMPTY} AS contentless FROM tx"""
     strong = rf"({_label('text', text.CHAPTER_LABELS)} OR {_NUMBERED} OR (size >= 17.4 AND {_words('text')} BETWEEN 2 AND 12 AND len(regexp_extract_all(text, '\p{{Nd}}')) <= 2 AND NOT regexp_matches(text, '[=<>\x{{A9}}\x{{AE}}+&~|/\\{{}}\[\]]') AND NOT regexp_matches(text, '[.!?]\z') AND {_TITLE_CASED} AND {_WORDLIKE}))"
     q["heading_candidates"] = rf"""WITH {_TEXTS} SELECT doc_id, line_no::INTEGER AS line_no, CASE WHEN size >= 22.8 THEN 1 ELSE 2 END AS level, {strong} AS strong, {_HEAD_KEY} AS head_key FROM tx
       WHERE {_words('t')} BETWEEN 1 AND 12 AND NOT regexp_matches(t, '[,;:]\z') AND regexp_matches(t, '\p{{L}}{{3,}}') AND (size >= 17.4 OR ({_words('t')} <= 6 AND NOT regexp_matches(t, '[.!?]\z') AND ({_label('t', text.HEADING_WORDS)} OR {_NUMBERED} OR {_BACK_KEY})))"""
-    q["captions"] = f"WITH {_TEXTS} SELECT doc_id, line_no::INTEGER AS line_no, {_CAPTION} AS caption, {_SCENE} AS scene FROM tx WHERE {_CAPTION} OR {_SCENE}"
+    turns = f"""CASE (doc_id + line_no) % 6 WHEN 0 THEN text WHEN 1 THEN '(' || substr(text, 1, 30) || ')' WHEN 2 THEN '{text.DEPICTIONS[0]} of ' || substr(text, 1, 40) WHEN 3 THEN '{text.MONTHS[0]} 12, 1944' WHEN 4 THEN 'Ljubljana, Slovenia'
+      ELSE substr(text, 1, 40) || ' (John Smith)' END"""
+    q["captions"] = f"""WITH vr AS (SELECT doc_id, line_no, {turns} AS text FROM ({_LINES})), tx AS (SELECT *, {_strip('text')} AS t FROM vr) SELECT doc_id, line_no::INTEGER AS line_no, {_CAPTION} AS caption, {_SCENE} AS scene FROM tx WHERE {_CAPTION} OR {_SCENE}"""
     q["toc_chapter_assign"] = "SELECT e.event_id, s.event_id AS start_id FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE event_id % 40 = 0) s ON e.user_id = s.user_id AND e.ts >= s.ts"
     q["caption_band_join"] = rf"""WITH {_PAGE}, b AS (SELECT * FROM pb WHERE NOT in_band), im AS (SELECT * FROM b WHERE line_no % 10 = 3), mk AS (SELECT * FROM b WHERE line_no % 7 = 1 OR contains(text, '('))
       SELECT im.book_key, im.page_index, im.line_no::INTEGER AS line_no, min(mk.line_no)::INTEGER AS caption_no FROM im JOIN mk ON im.book_key = mk.book_key AND im.page_index = mk.page_index AND mk.y0 BETWEEN im.y0 - 48 AND im.y0 + 48 GROUP BY 1, 2, 3 HAVING count(*) = 1"""
-    q["back_front_matter"] = f"WITH {_SEG} SELECT DISTINCT book_key, chapter_index FROM seg WHERE {_any('lower(t)', text.FRONT_TITLES + text.BACK_TITLES)}"
+    from folioflux.queries import _MATTER
+
+    listed = "[" + ", ".join(f"'{x}'" for x in _MATTER) + "]"
+    name = f"{listed}[(doc_id % {len(_MATTER)} + 1)::INTEGER]"
+    title = f"CASE WHEN doc_id % 3 = 0 THEN ' ' || upper({name}) || ' 2' ELSE {name} END"
+    q["back_front_matter"] = f"WITH {_SEG}, x AS (SELECT book_key, chapter_index, {title} AS ti FROM seg) SELECT DISTINCT book_key, chapter_index FROM x WHERE {_any(f'lower({_strip("ti")})', text.FRONT_TITLES + text.BACK_TITLES)}"
+    key, low = r"lower(regexp_replace(ti, '[^\p{L}\p{M}_]', '', 'g'))", f"lower({_strip('ti')})"
+    starts = lambda parts: "(" + " OR ".join(f"starts_with({key}, '{p}')" for p in parts) + ")"
+    q["matter_titles"] = rf"""WITH x AS (SELECT doc_id, {title} AS ti FROM documents) SELECT doc_id, {_any(low, text.FRONT_TITLES)} AS front, {_any(low, text.BACK_TITLES)} AS back, {_any(low, text.SKIPPABLE_TITLES)} AS skippable,
+      ({key} <> '' AND ({_any(key, text.BACK_KEY_PARTS)} OR {starts(text.BACK_KEY_STARTS)})) AS back_key, (NOT regexp_matches(ti, '[\p{{L}}\p{{M}}\p{{N}}_]') OR ({key} <> '' AND ({key} IN {text.FRONT_KEYS} OR {starts(text.FRONT_KEY_STARTS)}))) AS front_key FROM x"""
+    q["eligible_matter"] = f"""WITH {_SEG}, x AS (SELECT book_key, chapter_index, type, {_words('text')} AS words, {title} AS ti FROM seg), fl AS (SELECT DISTINCT book_key, chapter_index FROM x WHERE {_any(low, text.FRONT_TITLES + text.BACK_TITLES)})
+      SELECT book_key, CASE WHEN words >= 80 THEN 'long' WHEN words >= 35 THEN 'medium' ELSE 'short' END AS band, count(*) AS n, sum(words)::BIGINT AS words FROM x ANTI JOIN fl USING (book_key, chapter_index) WHERE type = 'paragraph' AND words >= 15 GROUP BY 1, 2"""
     q["body_pool_fallback"] = f"""WITH {_SEG}, r AS (SELECT book_key, count(*) FILTER (chapter_index % 3 <> 0) >= 120 AS restricted FROM seg GROUP BY 1)
       SELECT book_key, restricted, count(*) AS n FROM seg JOIN r USING (book_key) WHERE NOT restricted OR chapter_index % 3 <> 0 GROUP BY 1, 2"""
     from folioflux.sources.html import VOID
@@ -212,28 +225,33 @@ def oracle_sql() -> dict[str, str]:
       SELECT book_key, round(CASE WHEN f < 1 THEN least(total, 40) ELSE total END, 7) AS total FROM s"""
     q["bilingual_mismatch"] = f"WITH {_SEG} SELECT book_key, min(position) AS first_position, count(*) AS n FROM seg WHERE position % 101 = 100 OR position % 53 = 7 GROUP BY 1"
     q["seeded_sample"] = f"WITH {_VERDICT} SELECT source, doc_id, quality FROM vd QUALIFY row_number() OVER (PARTITION BY source ORDER BY sha1('42:' || doc_id)) <= 10"
-    q["bootstrap_ci"] = f"""WITH {_SAMPLE}, {_draws(42, 200)}, rs AS (SELECT dr.source, r, avg(quality::DOUBLE) AS v FROM dr JOIN sm ON dr.source = sm.source AND dr.idx = sm.idx GROUP BY 1, 2)
+    q["bootstrap_ci"] = f"""WITH {_SAMPLE}, {_draws(42, 2000)}, rs AS (SELECT dr.source, r, avg(quality::DOUBLE) AS v FROM dr JOIN sm ON dr.source = sm.source AND dr.idx = sm.idx GROUP BY 1, 2)
       SELECT source, round(quantile_cont(v, 0.025), 9) AS ci_low, round(quantile_cont(v, 0.975), 9) AS ci_high FROM rs GROUP BY 1"""
-    q["joint_bootstrap_total"] = f"""WITH {_SAMPLE}, {_draws(7, 100)}, rs AS (SELECT dr.source, r, (avg(quality::DOUBLE) * 30 + avg(toxic::DOUBLE) * 20) / 50 * 100 AS v FROM dr JOIN sm ON dr.source = sm.source AND dr.idx = sm.idx GROUP BY 1, 2)
+    q["joint_bootstrap_total"] = f"""WITH {_SAMPLE}, {_draws(7, 2000)}, rs AS (SELECT dr.source, r, (avg(quality::DOUBLE) * 30 + avg(toxic::DOUBLE) * 20) / 50 * 100 AS v FROM dr JOIN sm ON dr.source = sm.source AND dr.idx = sm.idx GROUP BY 1, 2)
       SELECT source, round(quantile_cont(v, 0.025), 7) AS ci_low, round(quantile_cont(v, 0.975), 7) AS ci_high FROM rs GROUP BY 1"""
     q["cluster_bootstrap_ci"] = f"""WITH {_VERDICT}, c AS (SELECT row_number() OVER (ORDER BY source) - 1 AS idx, total, n FROM (SELECT source, sum(quality)::DOUBLE AS total, count(*) AS n FROM vd GROUP BY 1)),
-      d AS (SELECT r, {_number("sha1('42:' || r || ':' || d)")} % k AS idx FROM (SELECT k, r, unnest(range(k)) AS d FROM (SELECT count(*) AS k, unnest(range(500)) AS r FROM c))), s AS (SELECT r, sum(total) / sum(n) AS v FROM d JOIN c USING (idx) GROUP BY 1)
+      d AS (SELECT r, {_number("sha1('42:' || r || ':' || d)")} % k AS idx FROM (SELECT k, r, unnest(range(k)) AS d FROM (SELECT count(*) AS k, unnest(range(2000)) AS r FROM c))), s AS (SELECT r, sum(total) / sum(n) AS v FROM d JOIN c USING (idx) GROUP BY 1)
       SELECT round(quantile_cont(v, 0.025), 9) AS ci_low, round(quantile_cont(v, 0.975), 9) AS ci_high FROM s"""
     q["judge_noise"] = f"WITH {_VERDICT} SELECT source, round(avg(abs(quality - toxic) / 2.0::DOUBLE), 9) AS noise FROM vd GROUP BY 1"
-    q["parse_markers"] = f"""WITH x AS (SELECT doc_id, string_split(text, chr(10))[1:3] AS l FROM documents), y AS (SELECT doc_id, list_transform(l, lambda s: {_strip('s')}) AS l FROM x WHERE len(l) = 3)
-      SELECT doc_id, (doc_id % 5 <> 0 AND len(list_filter(l, lambda s: s = '')) = 0) AS ok, CASE WHEN doc_id % 5 <> 0 AND len(list_filter(l, lambda s: s = '')) = 0 THEN sha1(array_to_string(l, '|')) END AS parts_sha1 FROM y"""
+    q["parse_markers"] = f"""WITH x AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda s: {_strip('s')}) AS l FROM documents), y AS (SELECT doc_id, l, len(l) AS n, doc_id % 5 <> 0 AND len(list_filter(l, lambda s: s = '')) = 0 AS ok FROM x)
+      SELECT doc_id, n::BIGINT AS n, ok, CASE WHEN ok THEN sha1(array_to_string(l, '|')) END AS parts_sha1 FROM y"""
     q["parse_score"] = "SELECT doc_id, CASE WHEN doc_id % 8 - 1 BETWEEN 1 AND 5 THEN (doc_id % 8 - 1)::INTEGER END AS score, CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS verdict FROM documents"
     q["run_tiling"] = f"WITH {_RUNS} SELECT book_key, run, slot::INTEGER AS slot, position FROM ru"
     q["lead_in_antijoin"] = f"""WITH {_RUNS}, j AS (SELECT DISTINCT segment_hash FROM ru), f AS (SELECT book_key, chapter_index, run FROM ru WHERE slot = 0),
       c AS (SELECT f.book_key, f.run, b.back, s.id, (s.chapter_index = f.chapter_index AND s.t <> '' AND s.position % 13 <> 5 AND s.segment_hash NOT IN (SELECT segment_hash FROM j)) AS good FROM f CROSS JOIN (VALUES (1), (2)) b(back) JOIN seg s ON s.book_key = f.book_key AND s.position = f.run - b.back)
       SELECT book_key, run, back, id FROM (SELECT *, min(good::INTEGER) OVER (PARTITION BY book_key, run ORDER BY back) AS g FROM c) WHERE g = 1"""
     q["paired_delta"] = f"""WITH {_VERDICT}, c AS (SELECT lang, source, sum(toxic - quality)::DOUBLE AS total, count(*) AS n FROM vd GROUP BY 1, 2), i AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY source) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS k FROM c),
-      d AS (SELECT lang, r, {_number("sha1('42:' || r || ':' || d)")} % k AS idx FROM (SELECT lang, k, r, unnest(range(k)) AS d FROM (SELECT lang, k, unnest(range(200)) AS r FROM (SELECT DISTINCT lang, k FROM i)))),
+      d AS (SELECT lang, r, {_number("sha1('42:' || r || ':' || d)")} % k AS idx FROM (SELECT lang, k, r, unnest(range(k)) AS d FROM (SELECT lang, k, unnest(range(2000)) AS r FROM (SELECT DISTINCT lang, k FROM i)))),
       s AS (SELECT d.lang, r, sum(total) / sum(n) AS v FROM d JOIN i ON d.lang = i.lang AND d.idx = i.idx GROUP BY 1, 2), ci AS (SELECT lang, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM s GROUP BY 1),
       m AS (SELECT lang, count(*) AS n, count(DISTINCT source) AS n_clusters, avg(quality) AS control_mean, avg(toxic) AS variant_mean, avg(toxic - quality) AS delta FROM vd GROUP BY 1)
       SELECT lang, n, n_clusters, round(control_mean, 9) AS control_mean, round(variant_mean, 9) AS variant_mean, round(delta, 9) AS delta, round(lo, 9) AS ci_low, round(hi, 9) AS ci_high, CASE WHEN lo > 0 THEN 'win' WHEN hi < 0 THEN 'regression' ELSE 'inconclusive' END AS verdict, n_clusters < 5 AS low_power FROM m JOIN ci USING (lang)"""
     q["strata_features"] = f"SELECT doc_id, line_no::INTEGER AS line_no, {_words('text')}::INTEGER AS words, CASE WHEN {_words('text')} >= 80 THEN 'long' WHEN {_words('text')} >= 35 THEN 'medium' ELSE 'short' END AS band, array_to_string({_STRATA_LIST}, ',') AS strata FROM ({_LINES})"
-    q["band_quota"] = f"WITH {_ELIGIBLE}, n AS (SELECT book_slug, band, count(*) AS n FROM cb GROUP BY 1, 2) SELECT *, greatest(1, round_even(12 * (n::DOUBLE / sum(n) OVER (PARTITION BY book_slug)), 0))::INTEGER AS quota FROM n"
+    q["band_quota"] = f"""WITH RECURSIVE {_ELIGIBLE}, c AS (SELECT book_slug, band, count(*) AS n FROM cb GROUP BY 1, 2),
+      r(book_slug, band, n, p, k) AS (SELECT book_slug, band, n, greatest(1, round_even(12 * n::DOUBLE / sum(n) OVER (PARTITION BY book_slug), 0))::BIGINT, 0 FROM c UNION ALL
+        SELECT book_slug, band, n, p + CASE WHEN can AND nth <= abs(miss) THEN sign(miss)::BIGINT ELSE 0 END, k + 1 FROM (
+          SELECT *, row_number() OVER (PARTITION BY book_slug, can ORDER BY n DESC, CASE band WHEN 'short' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) AS nth, bool_or(can) OVER (PARTITION BY book_slug) AS any_can
+          FROM (SELECT *, CASE WHEN miss < 0 THEN p > 1 ELSE p < n END AS can FROM (SELECT *, (12 - sum(p) OVER (PARTITION BY book_slug))::BIGINT AS miss FROM r))) WHERE miss <> 0 AND any_can AND k < 50)
+      SELECT book_slug, band, n, arg_max(p, k)::INTEGER AS quota FROM r GROUP BY 1, 2, 3"""
     names = ", ".join(f"('{s}')" for s in text.STRATA)
     q["manifest_coverage"] = f"""WITH {_ELIGIBLE}, ch AS (SELECT *, {_STRATA_LIST} AS strata FROM cb QUALIFY row_number() OVER (PARTITION BY book_slug ORDER BY sha1('42:' || id)) <= 5), s AS (SELECT name, count(*) AS n FROM (SELECT unnest(strata) AS name FROM ch) GROUP BY 1)
       SELECT 'stratum' AS kind, v.name, coalesce(n, 0) AS n, coalesce(n, 0) >= 6 AS met FROM (VALUES {names}) v(name) LEFT JOIN s ON s.name = v.name UNION ALL SELECT 'band', band, count(*), true FROM ch GROUP BY 2 UNION ALL SELECT 'book', book_slug, count(*), true FROM ch GROUP BY 2"""
@@ -266,10 +284,31 @@ def oracle_sql() -> dict[str, str]:
     rows = ", ".join(f"('{t}', {'NULL' if p is None else repr(p)}, '{s}')" for t, p, s in styles.STYLES)
     q["style_resolution"] = f"""WITH st(tier, lang, style) AS (VALUES {rows}), d AS (SELECT doc_id, lang AS "primary", CASE WHEN doc_id % 3 = 0 THEN 'economy' ELSE 'quality' END AS tier FROM documents)
       SELECT doc_id, "primary", coalesce(a.style, b.style) AS style FROM d LEFT JOIN st a ON a.tier = d.tier AND a.lang = d."primary" JOIN st b ON b.tier = d.tier AND b.lang IS NULL"""
-    q["clean_titles"] = rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(substr(text, 1, 40), '[ .]+', '_', 'g'), '_', ' '), '[{WS}]+', ' ', 'g'), '^[ -]+', ''), '[ -]+\z', '') AS title FROM documents"""
+    q["clean_titles"] = rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(string_split(text, chr(10))[1], '[ .]+', '_', 'g'), '_', ' '), '[{WS}]+', ' ', 'g'), '^[ -]+', ''), '[ -]+\z', '') AS title FROM documents"""
     q["glossary_identity"] = f"""WITH x AS (SELECT conv_id, regexp_extract(text, '^([A-Za-z]+)', 1) AS t, regexp_extract(text, '([A-Za-z]+)[^A-Za-z]*$', 1) AS r FROM conversations), y AS (SELECT conv_id, t, min(r) AS r FROM x WHERE t <> '' GROUP BY 1, 2)
       SELECT conv_id, count(*) AS n_terms, sha1({_strip("string_agg('- ' || t || ' -> ' || r, chr(10) ORDER BY t)")}) AS glossary_hash FROM y GROUP BY 1"""
     q["excerpt_prefix"] = f"""WITH {_SEG}, x AS (SELECT book_key, position, t, sum(length(t)) OVER (PARTITION BY book_key ORDER BY position) - length(t) AS before FROM seg WHERE t <> ''), e AS (SELECT book_key, substr(string_agg(t, chr(10) || chr(10) ORDER BY position), 1, 6000) AS e FROM x WHERE before < 6000 GROUP BY 1)
       SELECT book_key, length(e)::BIGINT AS n_chars, sha1(e) AS excerpt_sha1 FROM e"""
     q["requests_per_minute"] = "SELECT user_id, max(n) AS most, count(*) FILTER (n > 60) AS n_limited FROM (SELECT user_id, date_trunc('minute', ts) AS w, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1"
+    q["memo_replace"] = "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1"
+    q["migrated_translations"] = """WITH t AS (SELECT conv_id, arg_max(role, turn) AS terms FROM conversations WHERE turn % 2 = 1 GROUP BY 1)
+      SELECT c.conv_id::VARCHAR AS book_hash, 'baseline_v1' AS prompt_version, sha1(coalesce(terms, '')) AS glossary_hash, count(*) AS n FROM conversations c LEFT JOIN t USING (conv_id) GROUP BY 1, 2, 3"""
+    q["escaped_lines"] = "SELECT page_id, sha1(replace(replace(html, '&', '&amp;'), '<', '&lt;')) AS escaped_sha1, len(regexp_extract_all(lower(html), '<(em|strong|i|b)>'))::BIGINT AS n_emphasis FROM pages"
+    q["prompt_digests"] = r"""SELECT doc_id, substr(sha1(encode(lang) || '\x00'::BLOB || encode(CASE WHEN doc_id % 3 > 0 THEN source ELSE '' END) || '\x00'::BLOB || encode(text)), 1, 16) AS digest, sha1(text) AS block_hash FROM documents"""
+    q["epub_round_trip"] = f"""WITH {_SEG} SELECT book_key, chapter_index, position, type, heading_level, id, sha1({_strip('chapter_title')}) AS title_sha1, sha1(t) AS text_sha1 FROM seg2 WHERE t <> ''"""
+    q["epub_metadata"] = """SELECT DISTINCT source AS book_key, '"' || source || '" & <more>' AS title, source || '|A & B' AS authors, 'sl' AS language, 'ok' AS status FROM documents"""
+    shown = f"""{_SEG}, im AS (SELECT DISTINCT book_key, chapter_index, doc_id FROM seg WHERE chapter_index % 5 = 2)"""
+    q["epub_images"] = f"""WITH {shown} SELECT book_key, 'img' || lpad((row_number() OVER (PARTITION BY book_key ORDER BY chapter_index))::VARCHAR, 4, '0') AS image_id, 'image/png' AS media_type, chapter_index, NULL::VARCHAR AS anchor_id, '<' || doc_id || '">' AS alt, sha1('png' || doc_id) AS data_sha1 FROM im"""
+    q["book_json_round_trip"] = f"""WITH {shown} SELECT s.book_key, s.chapter_index, position, type, heading_level, id, sha1(text) AS text_sha1, CASE WHEN im.doc_id IS NOT NULL THEN sha1('png' || im.doc_id) END AS data_sha1 FROM seg2 s LEFT JOIN im USING (book_key, chapter_index)"""
+    q["sync_push"] = """WITH i AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_discount > 0.08 THEN 'discount' WHEN l_orderkey % 97 = 3 THEN 'missing_parent' END AS error FROM lineitem),
+      a AS (SELECT 'shelf_items' AS entity, CASE WHEN error IS NULL THEN 'applied' ELSE 'error' END AS status, error, id FROM i UNION ALL SELECT 'shelves', CASE WHEN o_orderkey % 5 = 0 THEN 'conflict' ELSE 'applied' END, NULL, o_orderkey FROM orders)
+      SELECT entity, status, error, count(*) AS n, sum(id)::BIGINT AS ids FROM a GROUP BY 1, 2, 3"""
+    q["owner_pull"] = f"""WITH {_LOG}, p AS (SELECT user_id, updated_at, arrival FROM lg WHERE user_id = (SELECT min(user_id) FROM lg) AND (updated_at > 0 OR arrival > 0) ORDER BY updated_at, arrival LIMIT 26) SELECT *, row_number() OVER (ORDER BY updated_at, arrival) > 25 AS more FROM p"""
+    head = "'Translate into: sl.' || chr(10) || chr(10) || 'STYLE MEMO of the book, for every segment:' || chr(10) || 'Plain words.' || chr(10) || chr(10) || 'TERMS, always with these renderings:' || chr(10) || '- and -> in'"
+    q["translation_accounts"] = f"""WITH ln AS (SELECT doc_id, line_no, text, {_strip('text')} AS t FROM ({_LINES})),
+      br AS (SELECT *, CASE WHEN t <> '' AND coalesce(lag(t) OVER (PARTITION BY doc_id ORDER BY line_no), '') <> '' THEN 0 ELSE 1 END AS brk FROM ln), isl AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM br),
+      sl AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, island ORDER BY line_no) - 1) // 20 AS part FROM isl WHERE t <> ''), nu AS (SELECT *, row_number() OVER (PARTITION BY doc_id, island, part ORDER BY line_no) AS n FROM sl),
+      ca AS (SELECT length({head}) + sum(2 + length('[[' || n || ']] ' || text)) AS asked, sum(length('[[' || n || ']] <12345678> ' || t)) + count(*) - 1 AS got FROM nu GROUP BY doc_id, island, part),
+      tk AS (SELECT count(*) AS n_calls, sum(asked // 4)::BIGINT AS input_tokens, sum(got // 4)::BIGINT AS output_tokens FROM ca), sg AS (SELECT count(*) AS n_segments, sum(CASE WHEN t = '' THEN length(text) ELSE 11 + length(t) END)::BIGINT AS n_chars FROM ln)
+      SELECT 'gpt-5-mini' AS model, 'batch' AS kind, n_calls, input_tokens, output_tokens, round({_COST}, 6) AS cost_eur, n_segments, n_chars FROM tk, sg"""
     return q

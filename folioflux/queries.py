@@ -124,6 +124,113 @@ def latest_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", "event_type", "event_id", "value")
 
 
+def memo_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memos by user and type: events of even id are there, those of odd ids come; the newest of each key holds."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value", F.struct("ts", "event_id").alias("at"))
+    found = store.insert_or_replace(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), ["user_id", "event_type"], "at")
+    return found.select("user_id", "event_type", "event_id", "value")
+
+
+def migrated_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations' turns as rows of the narrow key; the newest turn that has terms names the glossary."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("book_hash"), "turn", "role", "text")
+    key = [F.lit("m").alias("model"), F.lit("sl").alias("lang")]
+    old = rows.select("book_hash", F.sha1(F.col("text").cast("binary")).alias("segment_hash"), *key, "text")
+    terms = rows.where("turn % 2 = 1").select("book_hash", *key, F.col("role").alias("terms_json"), F.col("turn").cast("double").alias("created_at"))
+    found = store.migrate_translations(old, terms, F.sha1(F.col("terms_json").cast("binary")))
+    return found.groupBy("book_hash", "prompt_version", "glossary_hash").agg(F.count("*").alias("n"))
+
+
+def escaped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.sha1(text.escape_text(F.col("html")).cast("binary")).alias("escaped_sha1"), text.emphasis_count(F.col("html")).cast("long").alias("n_emphasis"))
+
+
+def prompt_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents")
+    return rows.select("doc_id", identity.digest([F.col("lang"), F.when(F.col("doc_id") % 3 > 0, F.col("source")), F.col("text")]).alias("digest"), F.sha1(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("block_hash"))
+
+
+def _archive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each source as a book: metadata, its lines, and an image at the beginning of every fifth chapter."""
+    rows = keep(_segments(spark, sf_dir), "segments")
+    about = rows.select("book_key").distinct().select("book_key", F.concat(F.lit('"'), "book_key", F.lit('" & <more>')).alias("title"), F.array("book_key", F.lit("A & B")).alias("authors"), F.lit("sl").alias("language"))
+    heads = rows.where("chapter_index % 5 = 2").select("book_key", "chapter_index", "doc_id").distinct()
+    images = heads.select("book_key", F.format_string("img%06d", "chapter_index").alias("image_id"), F.lit("image/png").alias("media_type"), F.concat(F.lit("png"), F.col("doc_id").cast("string")).cast("binary").alias("data"), F.lit(None).cast("string").alias("source_href"), "chapter_index", F.lit(None).cast("string").alias("anchor_id"), F.concat(F.lit("<"), F.col("doc_id").cast("string"), F.lit('">')).alias("alt"))
+    return about, rows, images
+
+
+def _epubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflux.sources import epub
+
+    return keep(epub.build_books(*_archive(spark, sf_dir)).select("book_key", F.col("epub").alias("content"), F.lit(".epub").alias("suffix")), "epubs")
+
+
+def epub_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as EPUB books and read again: each segment with its place, kind and text."""
+    from folioflux.sources import epub
+
+    rows = epub.segments(_epubs(spark, sf_dir))
+    return rows.select("book_key", "chapter_index", "position", "type", "heading_level", "id", F.sha1(F.col("chapter_title").cast("binary")).alias("title_sha1"), F.sha1(F.col("text").cast("binary")).alias("text_sha1"))
+
+
+def epub_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflux.sources import epub
+
+    return epub.books(_epubs(spark, sf_dir)).select("book_key", "title", F.array_join("authors", "|").alias("authors"), "language", "status")
+
+
+def epub_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflux.sources import epub
+
+    return epub.images(_epubs(spark, sf_dir)).select("book_key", "image_id", "media_type", "chapter_index", "anchor_id", "alt", F.sha1("data").alias("data_sha1"))
+
+
+def book_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as JSON books and read again, with the images by chapter."""
+    from folioflux.sources import books
+
+    about, rows, images = _archive(spark, sf_dir)
+    _, back, pictures = books.from_json(keep(books.to_json(about, rows, images), "json"))
+    shown = pictures.select("book_key", "chapter_index", F.sha1("data").alias("data_sha1"))
+    return back.join(shown, ["book_key", "chapter_index"], "left").select("book_key", "chapter_index", "position", "type", "heading_level", "id", F.sha1(F.col("text").cast("binary")).alias("text_sha1"), "data_sha1")
+
+
+def sync_push(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as shelves, some of which are newer already; lineitems as their items, some of them of unknown shelves or out of bounds."""
+    from folioflux.plans import service
+
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("updated_at"))
+    items = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.when(F.col("l_orderkey") % 97 == 3, -F.col("l_orderkey")).otherwise(F.col("l_orderkey")).alias("shelf_id"), "l_discount", F.col("l_shipdate").alias("updated_at"))
+    newer = orders.where("id % 5 = 0").withColumn("updated_at", F.col("updated_at") + F.expr("INTERVAL 1 DAY"))
+    out = service.push({"shelf_items": items, "shelves": orders}, {"shelves": newer}, {"shelves": ["id"], "shelf_items": ["id"]}, {"shelf_items": {"discount": F.col("l_discount") <= 0.08}})
+    both = [rows.select(F.lit(name).alias("entity"), "status", "error", F.col("id").cast("long").alias("id")) for name, rows in out.items()]
+    return both[0].unionByName(both[1]).groupBy("entity", "status", "error").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+def owner_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of the least user's writes after a cursor."""
+    from folioflux.plans import service
+
+    rows = _log(spark, sf_dir).select("user_id", "updated_at", "arrival")
+    user = rows.agg(F.min("user_id")).first()[0]
+    return service.pull(rows, user, ["updated_at", "arrival"], (0, 0), 25).select("user_id", "updated_at", "arrival", "more")
+
+
+def translation_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' lines translated by the deterministic stand-in as one book, whose chapters they are: calls, tokens, cost."""
+    from folioflux.operators.kept import new_folder
+    from folioflux.plans import connectors, execute
+
+    rows = table(spark, sf_dir, "documents").select(F.lit("all").alias("book_key"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    placed = rows.select("book_key", F.col("doc_id").cast("int").alias("chapter_index"), F.col("doc_id").cast("string").alias("chapter_title"), (F.col("doc_id") * 1_000_000 + F.col("line_no")).alias("position"), F.lit("paragraph").alias("type"), F.lit(None).cast("int").alias("heading_level"), "text")
+    book = placed.withColumn("id", identity.segment_id(F.col("text"), F.col("chapter_index"), F.col("position")))
+    cache = store.Store(spark, new_folder(spark, "cache"))
+    done = execute.translate(book, cache, lambda: connectors.EchoClient(MODEL), book_hash="all", model=MODEL, lang="sl", batch_size=BATCH, lanes=1 << 30, context_pairs=0, memo="Plain words.", glossary={"and": "in"})
+    calls = store.accounting(cache.read("calls"), ["model", "kind"]).withColumn("cost_eur", F.round("cost_eur", 6))
+    texts = done.agg(F.count("*").alias("n_segments"), F.sum(F.length("target_text")).alias("n_chars"))
+    return calls.crossJoin(F.broadcast(texts))
+
+
 def insert_or_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' texts into a cache that holds the benchmark's and every third document's."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", identity.segment_hash(F.col("text")).alias("segment_hash"))
@@ -171,10 +278,11 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dehyphenate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each line cut after its first ten characters with a hyphen, joined to the rest again."""
-    rows = _texts(spark, sf_dir).where(F.length("text") > 12)
-    line, rest = F.concat(F.substring("text", 1, 10), F.lit("-")), F.expr("substring(text, 11)")
-    return rows.select("doc_id", "line_no", F.substring(F.coalesce(text.dehyphenate(line, rest), F.lit("-")), 1, 20).alias("joined"))
+    """Each line cut in its middle with a hyphen, joined to the rest again; a dash where they don't join."""
+    half = F.ceil(F.length("text") / 2).cast("int")
+    rows = _texts(spark, sf_dir).select("doc_id", "line_no", F.concat(F.substring("text", F.lit(1), half), F.lit("-")).alias("a"), F.substring("text", half + 1, F.length("text")).alias("b"))
+    joined = F.coalesce(text.dehyphenate(F.col("a"), F.col("b")), F.lit("-"))
+    return rows.select("doc_id", "line_no", F.length(joined).cast("long").alias("n_chars"), F.sha1(joined.cast("binary")).alias("joined_sha1"))
 
 
 def line_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,9 +300,20 @@ def heading_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "line_no", text.heading_level(size, body).alias("level"), text.is_strong_chapter(t, size, body).alias("strong"), text.head_key(t).alias("head_key"))
 
 
+def _variants(rows: DataFrame) -> DataFrame:
+    """Each line as it is, in parentheses, as a depiction, as a date, as a place, and with a name in parentheses after it, by turns."""
+    t = F.col("text")
+    forms = [t, F.concat(F.lit("("), F.substring(t, 1, 30), F.lit(")")), F.concat(F.lit(text.DEPICTIONS[0]), F.lit(" of "), F.substring(t, 1, 40)), F.lit(f"{text.MONTHS[0]} 12, 1944"), F.lit("Ljubljana, Slovenia"), F.concat(F.substring(t, 1, 40), F.lit(" (John Smith)"))]
+    turn = (F.col("doc_id") + F.col("line_no")) % len(forms)
+    form = F.lit(None).cast("string")
+    for i, x in enumerate(forms):
+        form = F.when(turn == i, x).otherwise(form)
+    return rows.withColumn("text", form)
+
+
 def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return _texts(spark, sf_dir).where(text.is_caption(t) | text.is_scene_setter(t)).select("doc_id", "line_no", text.is_caption(t).alias("caption"), text.is_scene_setter(t).alias("scene"))
+    return _variants(_texts(spark, sf_dir)).where(text.is_caption(t) | text.is_scene_setter(t)).select("doc_id", "line_no", text.is_caption(t).alias("caption"), text.is_scene_setter(t).alias("scene"))
 
 
 def toc_chapter_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,8 +333,30 @@ def caption_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groupBy(*place, "line_no").agg(F.count("*").alias("n"), F.min("caption_no").alias("caption_no")).where("n = 1").drop("n")
 
 
+#: Titles of chapters by turns: parts of the lists, in other forms, and what only resembles them.
+_MATTER = [*text.FRONT_TITLES, *text.BACK_TITLES, *text.FRONT_KEYS, *text.BACK_KEYS, "Also by this author", "a note about the type", "Praise!", "12.", "", "chapter one", "The Story", "Inde x"]
+
+
+def _matter_title(number: Column) -> Column:
+    name = F.element_at(F.array(*[F.lit(x) for x in _MATTER]), (number % len(_MATTER) + 1).cast("int"))
+    return F.when(number % 3 == 0, F.concat(F.lit(" "), F.upper(name), F.lit(" 2"))).otherwise(name)
+
+
 def back_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.flagged_chapters(_segments(spark, sf_dir).withColumn("chapter_title", F.col("text")))
+    return segments.flagged_chapters(_segments(spark, sf_dir).withColumn("chapter_title", _matter_title(F.col("doc_id"))))
+
+
+def matter_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the title predicates say of each document's title."""
+    t = F.col("title")
+    rows = table(spark, sf_dir, "documents").select("doc_id", _matter_title(F.col("doc_id")).alias("title"))
+    return rows.select("doc_id", text.is_front_title(t).alias("front"), text.is_back_title(t).alias("back"), text.is_skippable_title(t).alias("skippable"), text.names_back_matter(t).alias("back_key"), text.names_front_matter(t).alias("front_key"))
+
+
+def eligible_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of the body under the same titles, by book and band."""
+    rows = keep(_segments(spark, sf_dir).withColumn("chapter_title", _matter_title(F.col("doc_id"))), "segments")
+    return segments.eligible_paragraphs(rows).groupBy("book_key", "band").agg(F.count("*").alias("n"), F.sum("words").cast("long").alias("words"))
 
 
 def body_pool_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,24 +479,24 @@ def seeded_sample_generator(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sampling.hash_sample(_verdicts(spark, sf_dir), F.col("doc_id"), 20, 42, ["source"])
+    rows = _verdicts(spark, sf_dir)
     items = rows.withColumn("index", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long")).select("source", "index", F.col("quality").cast("double").alias("value"))
-    found = sampling.interval(sampling.resampled_means(items, ["source"], ["value"], seed=42, resamples=200), "value", ["source"])
+    found = sampling.interval(sampling.resampled_means(items, ["source"], ["value"], seed=42), "value", ["source"])
     return found.select("source", F.round("ci_low", 9).alias("ci_low"), F.round("ci_high", 9).alias("ci_high"))
 
 
 def cluster_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _verdicts(spark, sf_dir).groupBy("source").agg(F.sum("quality").cast("double").alias("total"), F.count("*").alias("n"))
     clusters = rows.withColumn("index", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("source")) - 1).cast("long")).withColumn("all", F.lit(1))
-    found = sampling.interval(sampling.cluster_means(clusters.select("all", "index", "total", "n"), ["all"], seed=42, resamples=500), "mean", ["all"])
+    found = sampling.interval(sampling.cluster_means(clusters.select("all", "index", "total", "n"), ["all"], seed=42), "mean", ["all"])
     return found.select(F.round("ci_low", 9).alias("ci_low"), F.round("ci_high", 9).alias("ci_high"))
 
 
 def joint_bootstrap_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality and toxicity drawn together, weighted like two dimensions."""
-    rows = sampling.hash_sample(_verdicts(spark, sf_dir), F.col("doc_id"), 20, 42, ["source"])
+    rows = _verdicts(spark, sf_dir)
     items = rows.withColumn("index", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long")).select("source", "index", F.col("quality").cast("double").alias("a"), F.col("toxic").cast("double").alias("b"))
-    means = sampling.resampled_means(items, ["source"], ["a", "b"], seed=7, resamples=100).withColumn("total", (F.col("a") * 30 + F.col("b") * 20) / 50 * 100)
+    means = sampling.resampled_means(items, ["source"], ["a", "b"], seed=7).withColumn("total", (F.col("a") * 30 + F.col("b") * 20) / 50 * 100)
     found = sampling.interval(means, "total", ["source"])
     return found.select("source", F.round("ci_low", 7).alias("ci_low"), F.round("ci_high", 7).alias("ci_high"))
 
@@ -367,13 +508,12 @@ def judge_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replies made of three lines with their markers; every fifth lacks one, every seventh has them in one line."""
-    lines = F.slice(F.split("text", "\n"), 1, 3)
-    rows = table(spark, sf_dir, "documents").select("doc_id", lines.alias("l")).where(F.size("l") == 3)
+    """Replies made of all lines with their markers; every fifth lacks the last one, every seventh has them in one line."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("l")).withColumn("n", F.size("l"))
     marked = F.transform("l", lambda x, i: F.concat(F.lit("[["), (i + 1).cast("string"), F.lit("]] "), x))
-    reply = F.when(F.col("doc_id") % 5 == 0, F.array_join(F.slice(marked, 1, 2), "\n")).when(F.col("doc_id") % 7 == 0, F.array_join(marked, " ")).otherwise(F.array_join(marked, "\n"))
-    parsed = rows.select("doc_id", text.parse_numbered(reply, F.lit(3)).alias("p"))
-    return parsed.select("doc_id", F.col("p").isNotNull().alias("ok"), F.sha1(F.array_join(F.col("p"), "|").cast("binary")).alias("parts_sha1"))
+    reply = F.when(F.col("doc_id") % 5 == 0, F.array_join(F.slice(marked, F.lit(1), F.col("n") - 1), "\n")).when(F.col("doc_id") % 7 == 0, F.array_join(marked, " ")).otherwise(F.array_join(marked, "\n"))
+    parsed = rows.select("doc_id", "n", text.parse_numbered(reply, F.col("n")).alias("p"))
+    return parsed.select("doc_id", F.col("n").cast("long").alias("n"), F.col("p").isNotNull().alias("ok"), F.sha1(F.array_join(F.col("p"), "|").cast("binary")).alias("parts_sha1"))
 
 
 def parse_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -400,7 +540,7 @@ def lead_in_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paired_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity against quality, documents of a source as a cluster, by language."""
     rows = _verdicts(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    found = experiment.paired_delta(rows, ["lang"], "source", "quality", "toxic", seed=42, resamples=200)
+    found = experiment.paired_delta(rows, ["lang"], "source", "quality", "toxic", seed=42)
     return found.select("lang", "n", "n_clusters", *[F.round(c, 9).alias(c) for c in ("control_mean", "variant_mean", "delta", "ci_low", "ci_high")], "verdict", "low_power")
 
 
@@ -416,9 +556,8 @@ def strata_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def band_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _candidates(spark, sf_dir).groupBy("book_slug", "band").agg(F.count("*").alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("book_slug"))
-    return rows.withColumn("quota", F.greatest(F.lit(1), F.bround(F.lit(12) * share)).cast("int"))
+    """Twelve places for each book, over the bands that it has."""
+    return selection.band_quotas(_candidates(spark, sf_dir), spark.createDataFrame([], "book_slug string, quota int"), 12).select("book_slug", "band", F.col("n").cast("long").alias("n"), "quota")
 
 
 def stratified_select(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -523,7 +662,8 @@ def style_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = F.concat(F.lit("_OceanofPDF.com_"), F.regexp_replace(F.substring("text", 1, 40), "[ .]+", "_"), F.lit(" (z-library.sk) -"))
+    """First lines as titles with a site's marks."""
+    title = F.concat(F.lit("_OceanofPDF.com_"), F.regexp_replace(F.split("text", "\n")[0], "[ .]+", "_"), F.lit(" (z-library.sk) -"))
     return table(spark, sf_dir, "documents").select("doc_id", text.clean_title(title).alias("title"))
 
 
@@ -555,8 +695,10 @@ def excerpt_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests_per_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by user and minute, and whether they pass the limit of 60."""
-    rows = table(spark, sf_dir, "events").groupBy("user_id", F.window("ts", "1 minute").alias("w")).agg(F.count("*").alias("n"))
-    return rows.groupBy("user_id").agg(F.max("n").alias("most"), F.count_if(F.col("n") > 60).alias("n_limited"))
+    from folioflux.streaming.sync import request_rates
+
+    rows = request_rates(table(spark, sf_dir, "events"), "user_id", at="ts")
+    return rows.groupBy("user_id").agg(F.max("n").alias("most"), F.count_if("limited").alias("n_limited"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
