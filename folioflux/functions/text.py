@@ -69,7 +69,7 @@ def collapse(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return F.length(strip(text)) == 0
+    return ~text.rlike(f"[^{WS}]")
 
 
 def words(text: Column) -> Column:
@@ -77,7 +77,8 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[^{WS}]+"))
+    # runs of what isn't white space; visible ASCII is told by one comparison, and possessive repetition keeps no way back
+    return F.regexp_count(text, F.lit(f"(?:[!-~]++|[^{WS}])++"))
 
 
 def head_key(text: Column) -> Column:
@@ -117,23 +118,21 @@ def names_front_matter(title: Column) -> Column:
 
 
 def is_page_number(text: Column) -> Column:
-    t = strip(text)
-    return t.rlike(r"^\p{Nd}+\.?\z") | t.rlike(r"^[ivxlcdmIVXLCDM]+\z")
+    return text.rlike(rf"^[{WS}]*(\p{{Nd}}+\.?|[ivxlcdmIVXLCDM]+)[{WS}]*\z")
 
 
 def is_digit_token(text: Column) -> Column:
     """One token that holds a digit."""
-    return strip(text).rlike(rf"^[^{WS}]*\p{{Nd}}[^{WS}]*\z")
+    return text.rlike(rf"^[{WS}]*[^{WS}]*\p{{Nd}}[^{WS}]*[{WS}]*\z")
 
 
 def is_garbled_page_number(text: Column) -> Column:
     """A digit token in which every run of letters is too short for a word or a roman numeral."""
-    runs = F.regexp_extract_all(text, F.lit(r"(\p{L}+)"), F.lit(1))
-    return is_digit_token(text) & F.forall(runs, lambda r: (F.length(r) <= 2) | r.rlike(r"^[ivxlcdmIVXLCDM]+\z"))
+    return is_digit_token(text) & ~text.rlike(r"(?<!\p{L})(?![ivxlcdmIVXLCDM]+(?!\p{L}))\p{L}{3,}")
 
 
 def is_uri(text: Column) -> Column:
-    return F.lower(strip(text)).rlike(rf"^(https?|ftp)://[^{WS}]+\z")
+    return text.rlike(rf"^[{WS}]*(?i:https?|ftp)://[^{WS}]+[{WS}]*\z")
 
 
 def is_contentless(text: Column) -> Column:
@@ -189,9 +188,8 @@ def is_caption(text: Column) -> Column:
 
 def looks_incomplete(text: Column) -> Column:
     """Doesn't end a sentence, closing quotes and brackets aside."""
-    end = F.regexp_replace(text, rf"[{WS}]+\z", "")
-    end = F.regexp_replace(F.regexp_replace(end, rf"[{CLOSERS}]+\z", ""), rf"[{WS}]+\z", "")
-    return (F.length(end) > 0) & ~end.rlike(r"[.!?\x{2026}]\z")
+    after = rf"[{WS}]*[{CLOSERS}]*[{WS}]*\z"
+    return ~text.rlike(rf"\A{after}") & ~text.rlike(rf"[.!?\x{{2026}}]{after}")
 
 
 def starts_lowercase(text: Column) -> Column:
@@ -208,22 +206,22 @@ def is_scene_setter(text: Column) -> Column:
     return (word_count(t) <= SCENE_WORDS_MAX) & looks_incomplete(t) & (date | place)
 
 
-def alphabetic_words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(\p{L}+)"), F.lit(1))
+def letter_runs(text: Column) -> Column:
+    """How many words of letters alone."""
+    return F.regexp_count(text, F.lit(r"\p{L}+"))
 
 
 def is_title_cased(text: Column) -> Column:
-    w = alphabetic_words(text)
-    capital = F.size(F.filter(w, lambda x: x.rlike(r"^\p{Lu}")))
-    return (F.size(w) >= 2) & (capital >= TITLE_CASE_SHARE * F.size(w))
+    n = letter_runs(text)
+    return (n >= 2) & (F.regexp_count(text, F.lit(r"(?<!\p{L})\p{Lu}")) >= TITLE_CASE_SHARE * n)
 
 
 def is_wordlike(text: Column) -> Column:
     """Every word could be one, and not most of them are tiny."""
-    w = alphabetic_words(text)
-    odd = F.exists(w, lambda x: ((F.length(x) >= 2) & ~F.lower(x).rlike("[aeiouy]")) | F.lower(x).rlike(VOWEL_RUN) | F.lower(x).rlike(CONSONANT_RUN))
-    tiny = F.size(F.filter(w, lambda x: F.length(x) <= SHORT_LETTERS))
-    return ~odd & ~((F.size(w) > 0) & (tiny > SHORT_SHARE * F.size(w)))
+    low, n = F.lower(text), letter_runs(text)
+    vowelless = text.rlike(r"(?<!\p{L})[\p{L}&&[^aeiouyAEIOUY\x{130}]]{2,}(?!\p{L})")  # U+0130 is an i in lower case
+    tiny = F.regexp_count(text, F.lit(rf"(?<!\p{{L}})\p{{L}}{{1,{SHORT_LETTERS}}}(?!\p{{L}})"))
+    return ~(vowelless | low.rlike(f"{VOWEL_RUN}|{CONSONANT_RUN}")) & ~((n > 0) & (tiny > SHORT_SHARE * n))
 
 
 def is_strong_chapter(text: Column, size: Column, body_size: Column) -> Column:
@@ -233,16 +231,17 @@ def is_strong_chapter(text: Column, size: Column, body_size: Column) -> Column:
     return starts_with_word(text, CHAPTER_LABELS) | is_numbered_title(text) | (outlier & clean & is_title_cased(text) & is_wordlike(text))
 
 
-def is_real_word(token: Column) -> Column:
-    letters = F.lower(F.regexp_replace(token, r"\P{L}", ""))
-    return (F.length(letters) >= REAL_WORD_LETTERS) & letters.rlike("[aeiouy]") & ~letters.rlike(VOWEL_RUN) & ~letters.rlike(CONSONANT_RUN)
+def real_words(text: Column) -> Column:
+    """How many tokens, by their letters alone, could be words."""
+    letters = F.lower(F.regexp_replace(text, rf"[^\p{{L}}{WS}]", ""))
+    token = r"[\p{L}\x{307}]"  # the dot that an i of Turkish leaves
+    return F.regexp_count(letters, F.lit(rf"(?<!{token})(?={token}{{{REAL_WORD_LETTERS}}})(?={token}*[aeiouy])(?!{token}*({VOWEL_RUN}|{CONSONANT_RUN})){token}+"))
 
 
 def is_gibberish(text: Column) -> Column:
     """Hardly any token is a real word; true of a text without tokens."""
-    w = words(text)
-    real = F.size(F.filter(w, is_real_word))
-    return (F.size(w) == 0) | (real < F.greatest(F.lit(1.0), REAL_WORD_SHARE * F.size(w)))
+    n = word_count(text)
+    return (n == 0) | (real_words(text) < F.greatest(F.lit(1.0), REAL_WORD_SHARE * n))
 
 
 def dehyphenate(line: Column, following: Column) -> Column:

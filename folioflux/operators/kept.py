@@ -50,6 +50,9 @@ def keep(df: DataFrame, name: str, *, by: str | None = None) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table that is read by fewer tasks than half the cores over all of them; others stay as they are."""
+    """A table of fewer files than half the cores over all of them, as a file may be one row group; others stay as they are.
+
+    Files are only listed where the scan has few partitions.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 4 * cores and 2 * len(df.inputFiles()) < cores else df

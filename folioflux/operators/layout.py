@@ -75,8 +75,8 @@ def marked_lines(lines: DataFrame, outline: DataFrame) -> DataFrame:
     """Body lines with what the reflow needs: is_heading, breaks (an indent or a wide gap). outline: (book_key, title)."""
     titles = outline.select("book_key", F.lower(text.collapse(F.col("title"))).alias("__title")).where(F.length("__title") > 0).distinct().withColumn("__declared", F.lit(True))
     keyed = lines.withColumn("__title", F.lower(text.collapse(F.col("text")))).join(titles, ["book_key", "__title"], "left")
-    rows = keyed.join(F.broadcast(body_sizes(lines)), "book_key").join(page_gaps(lines), ["book_key", "page_index"])
-    rows = rows.withColumn("parity", F.pmod("page_index", F.lit(2))).join(F.broadcast(left_margins(lines)), ["book_key", "parity"])
+    rows = keyed.join(body_sizes(lines), "book_key").join(page_gaps(lines), ["book_key", "page_index"])
+    rows = rows.withColumn("parity", F.pmod("page_index", F.lit(2))).join(left_margins(lines), ["book_key", "parity"])
     gap = F.col("y0") - F.lag("y0").over(Window.partitionBy("book_key", "page_index").orderBy("line_no"))
     wide = F.coalesce((F.col("page_gap") > 0) & (gap > GAP * F.col("page_gap")), F.lit(False))
     indented = F.col("x0") > F.col("margin") + INDENT * F.col("body_size")
@@ -164,7 +164,7 @@ def chapters_by_outline(blocks: DataFrame, toc: DataFrame) -> DataFrame:
     starts = content_starts(toc)
     located = as_of(blocks, starts.select("book_key", "page_index", "start_no", F.col("title").alias("start_title")), ["book_key"], "page_index", ["start_no", "start_title"])
     ends = starts.groupBy("book_key").agg(F.max("start_no").alias("n_starts"))
-    located = located.join(F.broadcast(back_start(toc, starts)), "book_key", "left").join(F.broadcast(ends), "book_key", "left")
+    located = located.join(back_start(toc, starts), "book_key", "left").join(ends, "book_key", "left")
     back = F.coalesce(F.col("page_index") >= F.col("back_page"), F.lit(False))
     index = F.when(back, F.coalesce("n_starts", F.lit(0)) + 1).otherwise(F.coalesce("start_no", F.lit(0)))
     title = F.when(back, BACK_CHAPTER).otherwise(F.coalesce("start_title", F.lit(FRONT_CHAPTER)))
@@ -177,7 +177,7 @@ def body_bracket(lines: DataFrame, pages: DataFrame) -> DataFrame:
     """(book_key, front_end, back_start): after the last contents page in the first quarter, before the first margin that names back
     matter in the second half. pages: (book_key, n_pages)."""
     key = text.head_key(F.col("text"))
-    rows = lines.join(F.broadcast(pages), "book_key")
+    rows = lines.join(pages, "book_key")
     contents = F.when((key == "contents") & (F.col("page_index") <= F.col("n_pages") * FRONT_SHARE), F.col("page_index") + 1)
     back = F.when(F.col("in_band") & key.isin(*text.BACK_KEYS) & (F.col("page_index") >= F.col("n_pages") * BACK_SHARE), F.col("page_index"))
     return rows.groupBy("book_key").agg(F.coalesce(F.max(contents), F.lit(0)).alias("front_end"), F.coalesce(F.min(back), F.first("n_pages")).alias("back_start"))
@@ -188,7 +188,7 @@ def chapters_by_headings(blocks: DataFrame, bracket: DataFrame) -> DataFrame:
 
     A label and the title after it, without a paragraph between, are one chapter. States follow each other: a fold by book.
     """
-    rows = blocks.join(F.broadcast(bracket), "book_key").withColumns({
+    rows = blocks.join(bracket, "book_key").withColumns({
         "strong": (F.col("kind") == "heading") & text.is_strong_chapter(F.col("text"), F.col("size"), F.col("body_size")),
         "label": text.starts_with_word(F.col("text"), text.CHAPTER_LABELS),
         "debris": text.is_gibberish(F.col("text")),
@@ -249,7 +249,7 @@ def anchored_images(images: DataFrame, segments: DataFrame, sizes: DataFrame) ->
     places = segments.select("book_key", F.struct("page_index", "y0").alias("at"), F.col("position").alias("above"))
     located = as_of(images.withColumn("at", F.struct("page_index", "y0")), places.groupBy("book_key", "at").agg(F.max("above").alias("above")), ["book_key"], "at", ["above"]).drop("at")
     captions = segments.where("type = 'caption'").select("book_key", "page_index", F.col("y0").alias("caption_y"), F.col("position").alias("caption"))
-    near = images.join(F.broadcast(sizes), "book_key").join(captions, ["book_key", "page_index"])
+    near = images.join(sizes, "book_key").join(captions, ["book_key", "page_index"])
     slack = CAPTION_LINES * F.col("body_size")
     near = near.where(F.col("caption_y").between(F.col("y0") - slack, F.col("y1") + slack)).groupBy("book_key", "image_no").agg(F.count("*").alias("n"), F.min("caption").alias("caption")).where("n = 1")
     joined_ = located.join(near.select("book_key", "image_no", "caption"), ["book_key", "image_no"], "left")

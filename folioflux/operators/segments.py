@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflux.functions import identity, text
 from folioflux.operators.kept import keep
-from folioflux.operators.running import running_total
+from folioflux.operators.running import running_totals
 
 
 def segments_of_lines(documents: DataFrame) -> DataFrame:
@@ -18,12 +18,12 @@ def segments_of_lines(documents: DataFrame) -> DataFrame:
     """
     docs = documents.select(F.col("source").alias("book_key"), "doc_id", F.split("text", "\n").alias("lines")).withColumn("n_lines", F.size("lines"))
     counts = keep(docs.select("book_key", "doc_id", "n_lines"), "line-counts")
-    placed = running_total(running_total(counts, ["book_key"], ["doc_id"], F.col("n_lines"), "first"), ["book_key"], ["doc_id"], F.lit(1), "chapter_index")
+    placed = running_totals(counts, ["book_key"], ["doc_id"], {"first": F.col("n_lines"), "chapter_index": F.lit(1)})
     rows = docs.join(keep(placed.drop("n_lines"), "chapters"), ["book_key", "doc_id"]).select("book_key", "doc_id", F.col("chapter_index").cast("int"), "first", F.col("lines")[0].alias("chapter_title"), F.posexplode("lines").alias("line_no", "text"))
-    t = text.strip(F.col("text"))
+    t = F.col("text")
     kind = (
-        F.when(text.is_blank(F.col("text")), "other").when(t.rlike("^[-*] "), "list_item")
-        .when((text.word_count(t) <= 6) & ~t.rlike(r"[.!?]\z"), "heading").otherwise("paragraph")
+        F.when(text.is_blank(t), "other").when(t.rlike(f"^[{text.WS}]*[-*] "), "list_item")
+        .when((text.word_count(t) <= 6) & ~t.rlike(rf"[.!?][{text.WS}]*\z"), "heading").otherwise("paragraph")
     )
     rows = rows.withColumn("position", (F.col("first") + F.col("line_no")).cast("long")).withColumn("type", kind)
     level = F.when(F.col("type") == "heading", F.when(F.col("line_no") == 0, 1).otherwise(2))

@@ -113,7 +113,7 @@ def select(candidates: DataFrame, tier: str, seed: int = SEED) -> DataFrame:
         return pd.DataFrame(list(chosen), columns=["book_slug", "chapter_index", "position"])
 
     found = pool.select("book_slug", "chapter_index", "position", "band", "strata", "__mark", F.lit(0).alias("__all")).groupBy("__all").applyInPandas(choose, schema)
-    return candidates.join(F.broadcast(found), ["book_slug", "chapter_index", "position"], "left_semi")
+    return candidates.join(found, ["book_slug", "chapter_index", "position"], "left_semi")
 
 
 def coverage(selected: DataFrame, floor: int) -> DataFrame:
@@ -149,4 +149,4 @@ def sample_book(selected: DataFrame) -> DataFrame:
     slugs = selected.select("book_slug").distinct().withColumn("chapter", F.dense_rank().over(Window.orderBy("book_slug")) - 1)
     rows = selected.withColumn("n", F.row_number().over(in_book)).select("book_slug", "n", F.lit("paragraph").alias("type"), "text")
     heads = slugs.select("book_slug", F.lit(0).alias("n"), F.lit("heading").alias("type"), F.col("book_slug").alias("text"))
-    return rows.unionByName(heads).join(F.broadcast(slugs), "book_slug").select(F.col("chapter").alias("chapter_index"), F.col("book_slug").alias("chapter_title"), F.col("n").cast("long").alias("position"), "type", "text")
+    return rows.unionByName(heads).join(slugs, "book_slug").select(F.col("chapter").alias("chapter_index"), F.col("book_slug").alias("chapter_title"), F.col("n").cast("long").alias("position"), "type", "text")
