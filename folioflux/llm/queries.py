@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflux.llm import decontam, licenses, lm, minhash, residual_pack, sharding, token_pack, topk, toxicity, url_filter
+from folioflux.llm.shared import keep
 from folioflux.operators.kept import spread
 
 
@@ -182,9 +183,71 @@ def op10_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+# What SQL can say of queries that it can't express as a whole: the same operators over the same tables.
+
+
+def shard_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2's rows: whether its shard is as near to equal bytes as tolerance and the longest text allow, and its slots are gapless."""
+    rows = keep(op2_sharding(spark, sf_dir), "shard-law")
+    whole = rows.agg(F.sum("size").alias("total"), F.max("size").alias("longest"))
+    of_shard = rows.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last")).crossJoin(F.broadcast(whole))
+    ideal = F.col("total") / SHARDS
+    marks = of_shard.select("shard", (F.abs(F.col("bytes") - ideal) <= 0.02 * ideal + 2 * F.col("longest")).alias("near"), ((F.col("n") == F.col("slots")) & (F.col("last") == F.col("n") - 1)).alias("gapless"))
+    return rows.join(marks, "shard").select("doc_id", "size", "law", (F.col("shard").between(0, SHARDS - 1)).alias("known"), "near", "gapless")
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5's counts and base scores."""
+    return op5_lm_scores(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's base columns."""
+    return op9_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def packing_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10's documents: whether their pieces are whole, and their sequences gapless and of at most 1024 tokens."""
+    rows = keep(op10_residual_packing(spark, sf_dir), "packing-law")
+    following = F.lead("offset").over(Window.partitionBy("sequence_id").orderBy("offset"))
+    end = F.col("offset") + F.col("length")
+    placed = rows.withColumn("good", F.when(following.isNull(), end <= 1024).otherwise(end == following)).withColumn("first", F.min("offset").over(Window.partitionBy("sequence_id")))
+    return placed.groupBy("doc_id").agg(
+        F.bool_and(F.col("good") & (F.col("first") == 0)).alias("gapless"),
+        ((F.min("start") == 0) & (F.sum("length") == F.max(F.col("start") + F.col("length"))) & (F.max("piece") == F.count("*") - 1) & (F.count_if((F.col("length") < 1024) & (F.col("piece") > 0)) == 0)).alias("whole"),
+    )
+
+
+_SHARD_LAW_SQL = "SELECT doc_id, coalesce(strlen(text), 0)::BIGINT + 16 AS size, 'bytes' AS law, TRUE AS known, TRUE AS near, TRUE AS gapless FROM documents"
+_PACKING_LAW_SQL = "SELECT DISTINCT doc_id, TRUE AS gapless, TRUE AS whole FROM documents"
+_LM_BASE_SQL = f"""
+WITH RECURSIVE bits(i, k, v) AS (SELECT i, 0, i FROM (SELECT unnest(range(256)) AS i) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+h(doc_id, s, p, x) AS (SELECT doc_id, doc_id::VARCHAR, 1, 4294967295 FROM documents UNION ALL SELECT doc_id, s, p + 1, xor(x >> 8, t[xor(x & 255, ascii(s[p])) + 1]) FROM h, crc WHERE p <= length(s)),
+d AS (SELECT d.doc_id, xor(x, 4294967295) % 7 = 2 AS held_out, list_append(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), ' ') AS w FROM documents d JOIN h ON d.doc_id = h.doc_id AND h.p > length(h.s)),
+c AS (SELECT tok, count(*) AS c FROM (SELECT unnest(w) AS tok FROM d WHERE NOT held_out) GROUP BY 1),
+n AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1))), 4) AS base_score
+FROM (SELECT doc_id, held_out, unnest(w) AS tok FROM d) t LEFT JOIN c USING (tok), n GROUP BY 1, 2"""
+
+
+def _license_sql() -> str:
+    found = " UNION ALL ".join(f"SELECT doc_id, i - 1 AS i, '{label}' AS label FROM x WHERE w[i : i + {len(p.split()) - 1}] = [{', '.join(repr(q) for q in p.split())}]" for p, label in licenses.BASE_PHRASES.items())
+    return f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), x AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d), f AS ({found}),
+g AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM f GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels FROM d LEFT JOIN g USING (doc_id)"""
+
+
+LAWS = {"shard_law": shard_law, "lm_base_scores": lm_base_scores, "license_base_places": license_base_places, "packing_law": packing_law}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | LAWS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": _op1_sql(), "op6_near_duplicates": _OP6_SQL, "op7_exact_topk": _OP7_SQL, "op8_decontamination": _OP8_SQL}
+    return {
+        "op1_url_filters": _op1_sql(), "op6_near_duplicates": _OP6_SQL, "op7_exact_topk": _OP7_SQL, "op8_decontamination": _OP8_SQL,
+        "shard_law": _SHARD_LAW_SQL, "lm_base_scores": _LM_BASE_SQL, "license_base_places": _license_sql(), "packing_law": _PACKING_LAW_SQL,
+    }
