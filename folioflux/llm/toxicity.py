@@ -38,15 +38,15 @@ SAMPLE = 3000, 6000
 #: Of 10 parts of the sample those that calibrate instead of training the dictionaries.
 HELD = 2
 #: Pieces that a class's dictionaries are trained on at most, drawn by hash from all pieces of all its texts, and their words.
-PIECES, PIECE_WORDS = 1 << 17, 16
+PIECES, PIECE_WORDS = 1 << 16, 16
 #: (words of a window, words of a dictionary's segments, bytes of the toxic and of the ordinary dictionary at most, search).
 SCALES = (1, 1, 1 << 17, 1 << 22, zstandard.STRATEGY_FAST), (3, 8, 1 << 16, 1 << 22, zstandard.STRATEGY_GREEDY)
 #: Windows are counted that are shorter by at least so many bytes; a difference below the least can't come from a whole word.
 STEPS = 2, 4, 8, 16, 24
 #: A window whose words a dictionary all holds takes at most so many bytes, for its frame and for each word.
 HELD_BYTES = 25, 4
-#: Words that are coded and compressed at once.
-CHUNK = 1 << 16
+#: Words that are coded and compressed at once, and bytes of text that features are taken of at once.
+CHUNK, SLICE_BYTES = 1 << 16, 2 << 20
 
 _SALTS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 CODE_BYTES = 8 * len(_SALTS)
@@ -69,10 +69,10 @@ class Model:
 
 
 def _compressor(dictionary: bytes, strategy: int) -> zstandard.ZstdCompressor:
-    # all set, as a level stands for another search with every size of dictionary; the tables hold every place of the dictionary
+    # all set, as a level stands for another search with every size of dictionary; the tables have a place for every second byte
     places = max(12, len(dictionary).bit_length())
     how = zstandard.ZstdCompressionParameters(
-        window_log=max(17, places), hash_log=places, chain_log=places, search_log=3, min_match=6, target_length=0, strategy=strategy, write_checksum=False, write_content_size=False, write_dict_id=False
+        window_log=max(17, places), hash_log=places - 1, chain_log=places - 1, search_log=3, min_match=6, target_length=0, strategy=strategy, write_checksum=False, write_content_size=False, write_dict_id=False
     )
     if len(dictionary) < 8:
         return zstandard.ZstdCompressor(compression_params=how)
@@ -157,7 +157,7 @@ class Pieces:
         """Trained on the pieces, in the order of their hashes, in segments of so many words; of pieces too few to train on, themselves."""
         samples = [coded(np.frombuffer(self.held[mark], np.uint64)) for mark in self.sorted()]
         try:
-            return zstandard.train_dictionary(size, samples, k=words * CODE_BYTES, d=8, f=23, accel=1).as_bytes()
+            return zstandard.train_dictionary(size, samples, k=words * CODE_BYTES, d=8, f=22, accel=1).as_bytes()
         except (zstandard.ZstdError, ValueError):
             return b"".join(samples)[-size:]
 
@@ -260,7 +260,7 @@ def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for batch in batches:
-            for part in bw.slices(batch, "text"):
+            for part in bw.slices(batch, "text", SLICE_BYTES):
                 x = scorer.features(part.column(0))
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(x.tolist(), pa.list_(pa.float64()))], ["label", "h", "x"])
 
@@ -290,7 +290,7 @@ def score(documents: DataFrame, model: Model, *, text: str = "text") -> DataFram
 
         return of
 
-    return with_text_column(documents, "toxicity_score", T.DoubleType(), text, make)
+    return with_text_column(documents, "toxicity_score", T.DoubleType(), text, make, most=SLICE_BYTES)
 
 
 def learnable(doc_id: Column, modulus: int = 4) -> Column:
