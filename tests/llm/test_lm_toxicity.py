@@ -176,10 +176,12 @@ def test_dictionaries_are_trained_on_whole_texts_of_their_class(spark):
     rows = toxic_corpus(600, 9)
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     m = toxicity.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    seen = [Counter(w for _, t, y in rows if y == label for w in t.split()) for label in (0, 1)]
+    common = [w for w, n in seen[0].items() if n >= 20 and seen[1][w] >= 5]
     for toxic, ordinary in zip(m.toxic, m.ordinary, strict=True):
         assert toxic[:4] == ordinary[:4] == b"\x37\xa4\x30\xec"  # trained dictionaries, with their tables
-        for word in ("an", "the", "of"):  # both hold what is frequent in both
-            assert code(word) in toxic and code(word) in ordinary
+        # both hold what is frequent in both; segments aren't aligned with words, so a small dictionary has some only in parts
+        assert np.mean([code(w) in toxic for w in common]) > 0.7 and np.mean([code(w) in ordinary for w in common]) > 0.95
     assert all(code(w) in m.toxic[0] and code(w) not in m.ordinary[0] for w in BAD)
 
 
