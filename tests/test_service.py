@@ -106,3 +106,22 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["translate", str(tmp_path / "in"), "--cache", str(tmp_path / "cache"), "--output", str(target)]) == 0
     _, segments, _ = epub.read_book(target.read_bytes(), "a")
     assert len(segments) == 3 and segments[1][3].endswith("First text.")
+    capsys.readouterr()
+    assert cli.main(["inspect", str(tmp_path / "in"), "--json"]) == 0
+    assert json.loads(capsys.readouterr().out.strip())["n_segments"] == 3
+    assert cli.main(["eval", str(target), "--source", str(tmp_path / "in" / "a.epub"), "--json"]) == 0
+    lines = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert {x["key"]: x["fraction"] for x in lines if "key" in x}["T1"] == 1.0 and 0 < lines[-1]["total"] <= 100
+    assert cli.main(["doctor", "--cache", str(tmp_path / "cache")]) == 0 and "ok   model" in capsys.readouterr().out
+    assert cli.main(["doctor", "--cache", str(tmp_path / "cache"), "--model", "unheard-of"]) == 1
+
+
+def test_back_matter_is_left_untranslated_only_on_request(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.epub").write_bytes(archive(["<h1>Story</h1><p>First text.</p>", "<h1>Notes</h1><p>A note.</p>"]))
+    got = {}
+    for how in ([], ["--skip-back-matter"]):
+        target = tmp_path / f"out{len(how)}.epub"
+        assert cli.main(["translate", str(tmp_path / "in"), "--cache", str(tmp_path / f"cache{len(how)}"), "--output", str(target), *how]) == 0
+        got[len(how)] = [s[3] for s in epub.read_book(target.read_bytes(), "a")[1]]
+    assert got[0][3] != "A note." and got[1][3] == "A note." and got[0][1] == got[1][1] != "First text."
