@@ -159,3 +159,55 @@ def test_violations_and_orphans(spark):
     rows = spark.createDataFrame([(1, 5, None), (2, 9, "a"), (3, None, "b")], "id int, stars int, parent string")
     assert [(r["id"], r["check"]) for r in sync.violations(rows, ["id"], {"stars": F.col("stars") <= 5}).collect()] == [(2, "stars")]
     assert {r["id"] for r in sync.orphans(rows, spark.createDataFrame([("a",)], "k string"), "parent", "k").collect()} == {1, 3}
+
+
+def kinds_of(spark, key, kinds):
+    rows = [(key, 0, "C", i, k, 1 if k == "heading" else None, f"{key} text {i}", f"{key}{i}") for i, k in enumerate(kinds)]
+    return spark.createDataFrame(rows, "book_key string, chapter_index int, chapter_title string, position long, type string, heading_level int, text string, id string")
+
+
+def test_a_book_without_target_rows_is_scored(spark):
+    source = kinds_of(spark, "s", ["heading", "paragraph", "list_item"]).unionByName(kinds_of(spark, "z", ["heading", "paragraph", "list_item"]))
+    target = source.where("book_key = 's'")
+    pairs = scoring.align(source, target)
+    assert {r["book_key"]: r["fraction"] for r in scoring.completeness(pairs).collect()} == {"s": 1.0, "z": 0.0}
+    scores = {r["book_key"]: r for r in scoring.structure(source, target).collect()}
+    assert scores["s"]["fraction"] == 1.0 and (scores["z"]["chapter_score"], scores["z"]["heading_score"], scores["z"]["block_score"], scores["z"]["emphasis_score"]) == (0.0, 0.0, 1.25, 2.5)
+
+
+def test_alignment_of_equal_books_is_by_number(spark):
+    source = kinds_of(spark, "s", ["heading", *["paragraph"] * 30])
+    target = source.withColumn("position", F.col("position") * 3 + 5).withColumn("text", F.upper("text"))
+    rows = scoring.align(source, target).collect()
+    assert len(rows) == 31 and all(r["target_position"] == r["position"] * 3 + 5 and r["target_text"] == r["text"].upper() for r in rows)
+
+
+def test_a_glossary_has_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "MOST_TERMS", 2)
+    terms = spark.createDataFrame([(f"t{i}", "r") for i in range(3)], "term string, rendering string")
+    with pytest.raises(ValueError, match="more than 2"):
+        scoring.terminology(spark.createDataFrame([("a", "b")], "text string, target_text string"), terms)
+
+
+def test_band_quotas_are_allotted_book_by_book(spark):
+    rng = random.Random(3)
+    rows = [(f"b{rng.randrange(6)}", rng.choices(["short", "medium", "long"], [1, 5, 9])[0]) for _ in range(300)] + [("tiny", "long")] * 2
+    quotas = {f"b{i}": 3 + 4 * i for i in range(6)} | {"tiny": 12}
+    got = selection.band_quotas(spark.createDataFrame(rows, "book_slug string, band string"), spark.createDataFrame(list(quotas.items()), "book_slug string, quota int")).collect()
+    for slug, quota in quotas.items():
+        counts = {b: sum(r == (slug, b) for r in rows) for b in ("short", "medium", "long")}
+        wanted = selection.allot({b: n for b, n in counts.items() if n}, quota, 1)
+        assert {r["band"]: r["quota"] for r in got if r["book_slug"] == slug} == wanted
+        assert sum(wanted.values()) == quota  # in proportion, not bounded by what a band has
+
+
+def test_running_sums_of_one_book_with_nearly_all_rows(spark):
+    from folioflux.operators.running import running_totals
+
+    rows = [("hot" if i % 50 else f"g{i % 7}", i, i % 5 or None) for i in range(10_000)]
+    df = spark.createDataFrame(rows, "g string, o long, v long").repartition(8)
+    got = {r["o"]: (r["s"], r["n"]) for r in running_totals(df, ["g"], ["o"], {"s": F.col("v"), "n": F.lit(1)}, range_rows=50).collect()}
+    sums, counts = {}, {}
+    for g, o, v in rows:
+        assert got[o] == (sums.get(g, 0), counts.get(g, 0))
+        sums[g], counts[g] = sums.get(g, 0) + (v or 0), counts.get(g, 0) + 1
