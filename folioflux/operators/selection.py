@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflux.functions.text import BANDS, STRATA
+from folioflux.operators.kept import keep
 
 # ---- fixed values: sample sizes and floors by tier ------------------------------------------------------------------------------------
 TIERS = {"smoke": 40, "standard": 150}
@@ -67,18 +68,19 @@ def select(candidates: DataFrame, tier: str, seed: int = SEED) -> DataFrame:
     floor, books in order, each in a seeded shuffle and only while its book and band have places; then what places are left.
 
     Every choice depends on those before, so the greedy part is one fold. It is fed with what could be chosen at most: of each book,
-    feature (or none) and band only as many candidates, in shuffled order, as the tier has places.
+    feature (or none) and band only as many candidates, in shuffled order, as the tier has places. Candidates are computed once, to a
+    table without their texts, which all steps read; the chosen rows find theirs in the end.
     """
     size = TIERS[tier]
-    quotas = book_quotas(candidates, tier)
-    bands = {(r["book_slug"], r["band"]): r["quota"] for r in quota_table(candidates.sparkSession, candidates, tier).collect()}  # a row for each book and band
-    rarity = {r[0]: r[1] for r in candidates.select(F.explode("strata").alias("s")).groupBy("s").count().collect()}
-    order = sorted(STRATA, key=lambda s: rarity.get(s, 0))
     mark = F.sha1(F.concat_ws(":", F.lit(f"{seed}:{tier}"), "book_slug", F.col("chapter_index").cast("string"), F.col("position").cast("string")).cast("binary"))
+    marked = keep(candidates.select("book_slug", "chapter_index", "position", "band", "strata", mark.alias("__mark")), "candidates")
+    quotas = book_quotas(marked, tier)
+    bands = {(r["book_slug"], r["band"]): r["quota"] for r in band_quotas(marked, _quota_rows(candidates.sparkSession, quotas)).collect()}  # a row for each book and band
+    rarity = {r[0]: r[1] for r in marked.select(F.explode("strata").alias("s")).groupBy("s").count().collect()}
+    order = sorted(STRATA, key=lambda s: rarity.get(s, 0))
     from pyspark.sql import Window
 
     features = F.concat(F.col("strata"), F.array(F.lit("")))
-    marked = candidates.withColumn("__mark", mark)
     nth = F.row_number().over(Window.partitionBy("book_slug", "band", "__feature").orderBy("__mark"))
     useful = marked.withColumn("__feature", F.explode(features)).withColumn("__nth", nth).where(F.col("__nth") <= size)
     pool = marked.join(useful.select("book_slug", "chapter_index", "position").distinct(), ["book_slug", "chapter_index", "position"], "left_semi")
@@ -113,7 +115,8 @@ def select(candidates: DataFrame, tier: str, seed: int = SEED) -> DataFrame:
         return pd.DataFrame(list(chosen), columns=["book_slug", "chapter_index", "position"])
 
     found = pool.select("book_slug", "chapter_index", "position", "band", "strata", "__mark", F.lit(0).alias("__all")).groupBy("__all").applyInPandas(choose, schema)
-    return candidates.join(found, ["book_slug", "chapter_index", "position"], "left_semi")
+    found = keep(found, "chosen")  # at most as many rows as the tier has places
+    return candidates.join(F.broadcast(found), ["book_slug", "chapter_index", "position"], "left_semi")
 
 
 def coverage(selected: DataFrame, floor: int) -> DataFrame:
