@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folioflux.functions import text
 from folioflux.operators import sampling
-from folioflux.sources import epub
+from folioflux.sources import books, epub
 
 
 def test_an_archive_is_written_and_read_by_chapters(monkeypatch):
@@ -36,3 +36,18 @@ def test_draws_meet_broadcast_items(spark):
         assert "SortMergeJoin" not in means._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_json_books_are_written_and_read_in_pieces(spark):
+    about = spark.createDataFrame([(k, f'"{k}", T', ["A"], "sl") for k in "abc"], "book_key string, title string, authors array<string>, language string")
+    texts = [("a", i, f',[{{"x": {i}}}]\n' if i % 3 else None) for i in range(200)] + [("b", 7, "one"), ("x", 0, "of no book")]
+    rows = spark.createDataFrame([(f"{k}{i}", "paragraph", t, i // 9, "C", i, None, k) for k, i, t in texts], "id string, type string, text string, chapter_index int, chapter_title string, position long, heading_level int, book_key string").repartition(5)
+    images = spark.createDataFrame([("a", f"i{i}", "image/png", bytes([i]), None, i, None, "x") for i in range(30)] + [("c", "i", "image/png", b"c", None, 0, None, "x")], "book_key string, image_id string, media_type string, data binary, source_href string, chapter_index int, anchor_id string, alt string")
+    for pictures in (images, None):
+        pieces = books.json_pieces(about, rows, pictures, chars=1000).persist()
+        found = pieces.orderBy("book_key", "piece").collect()
+        assert len(found) > 20 and max(len(r["json"]) for r in found) < 1400
+        whole = books.to_json(about, rows, pictures)
+        assert {k: "".join(r["json"] for r in found if r["book_key"] == k) for k in "abc"} == {r["book_key"]: r["json"] for r in whole.collect()}
+        for some, all_at_once in zip(books.from_json_pieces(pieces), books.from_json(whole), strict=True):
+            assert some.columns == all_at_once.columns and sorted(map(str, some.collect())) == sorted(map(str, all_at_once.collect()))
