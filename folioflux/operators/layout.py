@@ -1,7 +1,8 @@
 """Page layout: margins, running heads, paragraphs, chapters and images from positioned lines.
 
 Lines are rows of (book_key, page_index, line_no, text, x0, y0, size, page_height). Per-page work is windows over pages; what needs a
-book's lines together is aggregates. Only the reflow itself is a fold over a book's lines in order and runs in pandas by book.
+book's lines together is aggregates over their places, without texts. The reflow is a fold over ranges of a book's lines in order; what
+is open where ranges meet is joined afterwards. Texts are shuffled by page and by range, once each.
 """
 
 from __future__ import annotations
@@ -9,12 +10,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflux.functions import identity, text
 from folioflux.functions.patterns import clean_text, is_incomplete, joined, opens_lowercase
-from folioflux.operators.running import row_index
+from folioflux.operators.kept import keep
+from folioflux.operators.running import MAX_BROADCAST_ROWS, row_index
 
 # ---- fixed values: shares of a page and of a book, gaps, image sizes -----------------------------------------------------------------
 HEADER_SHARE, FOOTER_SHARE = 0.08, 0.92
@@ -43,11 +46,17 @@ def running_heads(lines: DataFrame) -> DataFrame:
 
 
 def strip_furniture(lines: DataFrame) -> DataFrame:
-    """Without running heads, page numbers and stamps in the margins. Lines of the body all stay."""
-    heads = running_heads(lines).select("book_key", "head_key", F.lit(True).alias("__head"))
-    keyed = lines.withColumn("head_key", text.head_key(F.col("text"))).join(heads, ["book_key", "head_key"], "left")
+    """Without running heads, page numbers and stamps in the margins. Lines of the body all stay, and aren't joined with the heads."""
+    heads = keep(running_heads(lines).select("book_key", "head_key", F.lit(True).alias("__head")), "heads")
+    few = heads.count() <= MAX_BROADCAST_ROWS
+    margin = F.coalesce("in_band", F.lit(True))
     gone = F.col("in_band") & text.is_furniture(F.col("text"), F.coalesce(F.col("__head"), F.lit(False)))
-    return keyed.where(~gone).drop("head_key", "__head")
+
+    def stripped(rows: DataFrame) -> DataFrame:
+        keyed = rows.withColumn("head_key", F.when(margin, text.head_key(F.col("text")))).join(F.broadcast(heads) if few else heads, ["book_key", "head_key"], "left")
+        return keyed.where(~gone).drop("head_key", "__head")
+
+    return stripped(lines) if few else stripped(lines.where(margin)).unionByName(lines.where(~margin))
 
 
 def body_sizes(lines: DataFrame) -> DataFrame:
@@ -74,59 +83,141 @@ def left_margins(lines: DataFrame) -> DataFrame:
 def marked_lines(lines: DataFrame, outline: DataFrame) -> DataFrame:
     """Body lines with what the reflow needs: is_heading, breaks (an indent or a wide gap). outline: (book_key, title)."""
     titles = outline.select("book_key", F.lower(text.collapse(F.col("title"))).alias("__title")).where(F.length("__title") > 0).distinct().withColumn("__declared", F.lit(True))
-    keyed = lines.withColumn("__title", F.lower(text.collapse(F.col("text")))).join(titles, ["book_key", "__title"], "left")
-    rows = keyed.join(body_sizes(lines), "book_key").join(page_gaps(lines), ["book_key", "page_index"])
-    rows = rows.withColumn("parity", F.pmod("page_index", F.lit(2))).join(left_margins(lines), ["book_key", "parity"])
-    gap = F.col("y0") - F.lag("y0").over(Window.partitionBy("book_key", "page_index").orderBy("line_no"))
-    wide = F.coalesce((F.col("page_gap") > 0) & (gap > GAP * F.col("page_gap")), F.lit(False))
+    places = keep(lines.select("book_key", "page_index", "line_no", "x0", "size"), "places")
+    of_page = Window.partitionBy("book_key", "page_index")
+    step = F.col("y0") - F.lag("y0").over(of_page.orderBy("line_no"))
+    rows = lines.withColumn("__step", step).withColumn("__page_gap", F.coalesce(F.median(F.when(F.col("__step") > 0, F.col("__step"))).over(of_page), F.lit(0.0)))
+    titles = keep(titles, "titles")
+    if n_titles := titles.count():
+        rows = rows.withColumn("__title", F.lower(text.collapse(F.col("text")))).join(F.broadcast(titles) if n_titles <= MAX_BROADCAST_ROWS else titles, ["book_key", "__title"], "left")
+    else:
+        rows = rows.withColumn("__declared", F.lit(False))
+    rows = rows.withColumn("parity", F.pmod("page_index", F.lit(2))).join(_side(left_margins(places).join(body_sizes(places), "book_key"), "margins"), ["book_key", "parity"])
+    wide = F.coalesce((F.col("__page_gap") > 0) & (F.col("__step") > GAP * F.col("__page_gap")), F.lit(False))
     indented = F.col("x0") > F.col("margin") + INDENT * F.col("body_size")
-    heading = text.is_heading_line(F.col("text"), F.col("size"), F.col("body_size"), F.coalesce(F.col("__declared"), F.lit(False)))
+    heading = ~_longer(F.col("text"), text.HEADING_WORDS_MAX) & text.is_heading_line(F.col("text"), F.col("size"), F.col("body_size"), F.coalesce(F.col("__declared"), F.lit(False)))
     return rows.withColumns({"is_heading": heading, "breaks": indented | wide}).select("book_key", "page_index", "line_no", "text", "y0", "size", "body_size", "is_heading", "breaks")
 
 
-def reflow(marked: DataFrame) -> DataFrame:
-    """Lines as blocks: book_key, block_no, kind, text, page_index, y0, size.
+def _longer(line: Column, words: int) -> Column:
+    """More than so many words, told by its beginning: long texts needn't go through tests that only short ones pass."""
+    return line.rlike(rf"^[{text.WS}]*+(?:[^{text.WS}]++[{text.WS}]++){{{words}}}[^{text.WS}]")
 
-    Lines are joined to paragraphs, over page ends too; a heading line is a block of its own. A break is overlooked where the running
-    text is unfinished and the line goes on in lower case or after a comma; that looks at the joined text, so it is a fold.
-    """
-    schema = "book_key string, block_no int, text string, page_index int, y0 double, size double, heading boolean"
 
-    def fold(book: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        open_lines: list[str] = []
-        begun = (0, 0.0, 0.0)
+def _side(df: DataFrame, name: str) -> DataFrame:
+    """Kept, and broadcast to what it is joined with up to MAX_BROADCAST_ROWS, counted."""
+    rows = keep(df, name)
+    return F.broadcast(rows) if rows.count() <= MAX_BROADCAST_ROWS else rows
+
+
+#: Blocks as the fold of a range gives them. edge: the first or last block of its range, a paragraph of which may go on from the one before (follows)
+#: or into the one after (goes_on); only its text isn't cleaned yet, and it says what its first line and its last line are like.
+_FOLDED = (
+    "book_key string, page_index int, text string, y0 double, size double, heading boolean, "
+    "edge boolean, follows boolean, goes_on boolean, breaks boolean, lower boolean, incomplete boolean, comma boolean"
+)
+_FOLDED_NAMES = [c.split()[0] for c in _FOLDED.split(", ")]
+#: Blocks leave the fold when they have so many characters together.
+FOLDED_CHARS = 1 << 20
+
+
+def _runs_on(incomplete: bool, comma: bool, breaks: bool, lower: bool) -> bool:
+    """Whether a line that is no heading goes on with the paragraph before it."""
+    return not breaks or (incomplete and (lower or comma))
+
+
+def _with_comma(line: str) -> bool:
+    return line.rstrip().endswith(",")
 
-        def close() -> None:
-            if open_lines:
-                rows.append((clean_text(" ".join(open_lines)), *begun, False))
-                open_lines.clear()
 
-        for line in book.sort_values(["page_index", "line_no"]).itertuples():
-            if line.is_heading:
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted lines (book_key, page_index, text, y0, size, body_size, is_heading, breaks) as blocks; only the open paragraph is held."""
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.float64(), pa.float64(), *[pa.bool_()] * 8]
+    rows: list[tuple] = []
+    chars = 0
+    key, open_lines, begun, first = None, [], (), None
+    untold = True  # whether a block of an earlier range can go on here: nothing came yet
+
+    def close(last: bool = False) -> None:
+        nonlocal chars
+        if open_lines:
+            whole, follows = " ".join(open_lines), first is not None
+            chars += len(whole)
+            ends = (is_incomplete(open_lines[-1]), _with_comma(open_lines[-1])) if follows or last else (None, None)
+            rows.append((key, begun[0], whole if follows or last else clean_text(whole), *begun[1:], False, follows or last, follows, last, *(first or (None, None)), *ends))
+            open_lines.clear()
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], _FOLDED_NAMES)
+
+    for lines in batches:
+        for book, page, own, y0, size, body_size, is_heading, breaks in zip(*(c.to_pylist() for c in lines.columns), strict=True):
+            if book != key:
                 close()
-                rows.append((clean_text(line.text), line.page_index, line.y0, line.size, True))
-                continue
-            if open_lines and line.breaks and not (is_incomplete(open_lines[-1]) and (opens_lowercase(line.text) or open_lines[-1].rstrip().endswith(","))):
+                key = book
+            if is_heading:
                 close()
-            if not open_lines:
-                begun = (line.page_index, line.y0, line.body_size)
-                open_lines.append(line.text)
-            elif (whole := joined(open_lines[-1], line.text)) is not None:
-                open_lines[-1] = whole
+                rows.append((key, page, clean_text(own), y0, size, True, untold, False, False, *[None] * 4))  # at an edge nothing goes on over it
+                chars += len(own)
             else:
-                open_lines.append(line.text)
-        close()
-        out = pd.DataFrame(rows, columns=["text", "page_index", "y0", "size", "heading"])
-        out.insert(0, "block_no", range(len(out)))
-        out.insert(0, "book_key", book["book_key"].iloc[0])
-        return out
-
-    blocks = marked.groupBy("book_key").applyInPandas(fold, schema)
+                if open_lines and not _runs_on(breaks and is_incomplete(open_lines[-1]), breaks and _with_comma(open_lines[-1]), breaks, breaks and opens_lowercase(own)):
+                    close()
+                if not open_lines:
+                    begun, first = (page, y0, body_size), (bool(breaks), opens_lowercase(own)) if untold else None
+                    open_lines.append(own)
+                elif (whole := joined(open_lines[-1], own)) is not None:
+                    open_lines[-1] = whole
+                else:
+                    open_lines.append(own)
+            untold = False
+            if chars >= FOLDED_CHARS:
+                yield batch()
+                rows.clear()
+                chars = 0
+    close(last=True)
+    if rows:
+        yield batch()
+
+
+def _stitched(book: pd.DataFrame) -> pd.DataFrame:
+    """The blocks at the edges of a book's ranges, in order, with those that go on from range to range as one."""
+    out: list[dict] = []
+    for row in book.sort_values("at").to_dict("records"):
+        before = out[-1] if out else None
+        if before and before["goes_on"] and row["follows"] and _runs_on(before["incomplete"], before["comma"], row["breaks"], row["lower"]):
+            whole = joined(before["text"], row["text"])
+            before["text"] = f"{before['text']} {row['text']}" if whole is None else whole
+            before |= {c: row[c] for c in ("goes_on", "incomplete", "comma")}
+        else:
+            out.append(row)
+    return pd.DataFrame([row | {"text": clean_text(row["text"])} for row in out], columns=book.columns)
+
+
+def reflow(marked: DataFrame) -> DataFrame:
+    """Lines as blocks: book_key, block_no, kind, text, page_index, y0, size.
+
+    Lines are joined to paragraphs, over page ends too; a heading line is a block of its own. A break is overlooked where the running
+    text is unfinished and the line goes on in lower case or after a comma. That looks at the joined text, but only at its last line, so
+    ranges of a book's lines are folded by themselves, and the few blocks at their edges are joined after that. Blocks are numbered by
+    their place in their range and the number of blocks before the range.
+    """
+    dealt = marked.repartitionByRange("book_key", "page_index", "line_no").sortWithinPartitions("book_key", "page_index", "line_no")
+    folded = dealt.select("book_key", "page_index", "text", "y0", "size", "body_size", "is_heading", "breaks").mapInArrow(_folded, _FOLDED)
     t = F.col("text")
-    kept = F.when(F.col("heading"), ~text.is_contentless(t)).otherwise(~text.is_droppable(t))
-    kind = F.when(F.col("heading"), "heading").when(text.is_caption(t), "caption").when(text.is_scene_setter(t) | text.is_gibberish(t), "other").otherwise("paragraph")
-    return row_index(blocks.where(kept).withColumn("kind", kind), ["book_key"], ["block_no"], "no").drop("block_no", "heading").withColumnRenamed("no", "block_no")
+    shown = F.when(F.col("heading"), ~text.is_contentless(t)).otherwise(~text.is_droppable(t))
+    # ranges are in order, and so are the blocks of each: `at` is their order, without gaps among those of a range that aren't at its edges
+    rows = keep(folded.where(F.col("edge") | shown).withColumn("at", F.monotonically_increasing_id()), "blocks", codec="zstd")
+    columns = ["book_key", "text", "page_index", "y0", "size", "heading", "at"]
+    whole = rows.where("not edge").select(*columns, F.shiftright("at", 33).alias("part"))
+    stitched = keep(rows.where("edge").groupBy("book_key").applyInPandas(_stitched, rows.schema).where(shown).select(*columns, (-1 - F.col("at")).alias("part")), "stitched")
+    blocks = whole.unionByName(stitched)
+    sums = blocks.groupBy("book_key", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("book_key").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = _side(sums.select(F.col("book_key").alias("__book"), F.col("part").alias("__part"), (before - F.col("first")).alias("__start")), "starts")
+    kind = F.when(F.col("heading"), "heading").when(~_longer(t, text.CREDIT_WORDS_MAX) & text.is_caption(t), "caption")
+    kind = kind.when((~_longer(t, text.SCENE_WORDS_MAX) & text.is_scene_setter(t)) | text.is_gibberish(t), "other").otherwise("paragraph")
+    numbered = blocks.join(starts, F.col("book_key").eqNullSafe(F.col("__book")) & (F.col("part") == F.col("__part")))
+    return numbered.select("book_key", "text", "page_index", "y0", "size", kind.alias("kind"), (F.col("__start") + F.col("at")).alias("block_no"))
 
 
 def content_starts(toc: DataFrame) -> DataFrame:

@@ -1,6 +1,10 @@
 import bisect
 import random
 
+import pandas as pd
+import pyarrow as pa
+
+from folioflux.functions.patterns import clean_text
 from folioflux.operators import layout
 
 
@@ -79,3 +83,23 @@ def test_images(spark):
     images = spark.createDataFrame([("b", 1, 0, 5.0, 9.0), ("b", 2, 1, 50.0, 90.0), ("b", 3, 1, 12.0, 20.0)], "book_key string, image_no int, page_index int, y0 double, y1 double")
     got = {r["image_no"]: r["anchor_id"] for r in layout.anchored_images(images, segments, sizes).collect()}
     assert got == {1: None, 2: "s2", 3: "s1"}
+
+
+def test_ranges_of_lines_fold_to_the_same_blocks_wherever_they_are_cut():
+    rng = random.Random(5)
+    words = ["on", "end.", "Begin", "so,", "a-", "-", "", '"', 'end."', "so-", "Up-"]
+    names = ["book_key", "page_index", "text", "y0", "size", "body_size", "is_heading", "breaks"]
+    rows = [("b" if i < 90 else "c", i // 4, " ".join(rng.choices(words, k=rng.randint(1, 2))), float(i), 9.0, 8.0, rng.random() < 0.1, rng.random() < 0.6) for i in range(160)]
+    batch = lambda some: pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*some, strict=True)], names)
+    columns = ["book_key", "page_index", "text", "y0", "size", "heading"]
+
+    def blocks(cuts):
+        ranges = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True) if a < b]
+        found = [r | {"at": (i << 33) + n} for i, some in enumerate(ranges) for n, r in enumerate(x for out in layout._folded([batch(some[:3]), batch(some[3:])] if len(some) > 3 else [batch(some)]) for x in out.to_pylist())]
+        edges = pd.DataFrame([r for r in found if r["edge"]])
+        joined = [r for _, book in edges.groupby("book_key") for r in layout._stitched(book).to_dict("records")] if len(edges) else []
+        return [tuple(r[c] for c in columns) for r in sorted([*(r for r in found if not r["edge"]), *joined], key=lambda r: r["at"])]
+
+    whole = blocks([])
+    assert len(whole) > 40 and all(t == clean_text(t) for _, _, t, *_ in whole)
+    assert all(blocks(sorted(rng.sample(range(1, len(rows)), k))) == whole for k in (1, 2, 5, 20, 60, 120) for _ in range(10)) and blocks(range(1, len(rows))) == whole
