@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
 from folioflux.llm import bytewords as bw
-from folioflux.llm.shared import bound_batches
+from folioflux.llm.shared import bound_batches, release, released
 
 
 def with_text_column(documents: DataFrame, name: str, kind: DataType, text: str, make: Callable[[], Callable[[pa.Array], pa.Array]], *, most: int = bw.SLICE_BYTES) -> DataFrame:
@@ -24,9 +24,12 @@ def with_text_column(documents: DataFrame, name: str, kind: DataType, text: str,
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = make()
-        for texts in batches:
+        for texts in released(batches):
             parts = [of(part.column(0)) for part in bw.slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", most)]
             yield pa.concat_arrays([p.cast(arrow) for p in parts]) if parts else pa.array([], arrow)
+            del texts, parts
+        del of
+        release()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return documents.withColumn(name, arrow_udf(run, kind).asNondeterministic()(documents[text]))

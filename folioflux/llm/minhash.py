@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from folioflux.llm import bytewords as bw
 from folioflux.llm.components import components
-from folioflux.llm.shared import bound_batches, keep
+from folioflux.llm.shared import bound_batches, keep, lean
 
 #: Positions of the circulant permutation.
 POSITIONS = 1 << 22
@@ -104,7 +104,7 @@ def _features(documents: DataFrame, doc_id: str, text: str, size: int, bands: in
                 lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)]).astype(np.int32), np.concatenate(keys) if keys else np.empty(0, np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists], ["doc_id", "n_shingles", "digest", "bands"])
 
-    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(features, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(features), "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
 def _sets(documents: DataFrame, doc_id: str, text: str, size: int, wanted: DataFrame, n_wanted: int, *, repeats: bool) -> DataFrame:
@@ -119,7 +119,7 @@ def _sets(documents: DataFrame, doc_id: str, text: str, size: int, wanted: DataF
 
     texts = documents.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text"))
     ids = wanted.select("node")
-    found = texts.join(F.broadcast(ids) if n_wanted <= MAX_BROADCAST_ROWS else ids, "node", "left_semi").mapInArrow(sets, "node long, digest binary, shingles binary")
+    found = texts.join(F.broadcast(ids) if n_wanted <= MAX_BROADCAST_ROWS else ids, "node", "left_semi").mapInArrow(lean(sets), "node long, digest binary, shingles binary")
     # of rows that repeat an id only the one whose set the node stands for, and that once
     return found.join(wanted, ["node", "digest"], "left_semi").groupBy("node", "digest").agg(F.any_value("shingles").alias("shingles")).drop("digest") if repeats else found.drop("digest")
 
@@ -136,7 +136,7 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 out[:, i] = len(x), len(y), int(_among(x, y).sum() if len(x) <= len(y) else _among(y, x).sum())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, out)], ["a", "b", "n_a", "n_b", "common"])
 
-    return _with_sets(pairs, sets).mapInArrow(compare, "a long, b long, n_a long, n_b long, common long")
+    return _with_sets(pairs, sets).mapInArrow(lean(compare), "a long, b long, n_a long, n_b long, common long")
 
 
 def _among(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -161,7 +161,7 @@ def _beyond(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             shingles = np.concatenate(more) if more else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([a.take(rows), b.take(rows), pa.array(np.repeat(counts, counts)), pa.array(shingles)], ["a", "b", "extra", "shingle"])
 
-    return _with_sets(pairs, sets).mapInArrow(beyond, "a long, b long, extra long, shingle long")
+    return _with_sets(pairs, sets).mapInArrow(lean(beyond), "a long, b long, extra long, shingle long")
 
 
 def _salts(rows: str) -> Column:

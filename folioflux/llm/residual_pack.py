@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflux.llm import bytewords as bw
-from folioflux.llm.shared import bound_batches, keep
+from folioflux.llm.shared import bound_batches, keep, lean
 from folioflux.llm.tokenizing import ids_of
 
 #: Items that one node packs.
@@ -146,7 +146,7 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int, *, te
                 columns = [taken.column(i) for i in range(len(kept))] + [pa.array([r[j] for r in out], fields[j][2]) for j in range(4)] + ([pa.array(blobs, pa.binary())] if with_ids else [])
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return source.mapInArrow(cut, schema)
+    return source.mapInArrow(lean(cut), schema)
 
 
 def pack_documents(documents: DataFrame, tokenizer_path: str, *, capacity: int = 1024, text: str = "text", end_id: int = 2, with_ids: bool = False, node_items: int = NODE_ITEMS) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from folioflux.llm import bytewords as bw
 from folioflux.llm.columns import with_text_column
-from folioflux.llm.shared import bound_batches, keep
+from folioflux.llm.shared import bound_batches, keep, lean, release
 
 #: Labelled rows that training reads at most: toxic and ordinary ones, those of least hash.
 SAMPLE = 3000, 6000
@@ -252,9 +252,9 @@ def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
         toxic, ordinary, held = learn(rows)
         yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((toxic, pa.list_(pa.binary())), (ordinary, pa.list_(pa.binary())), (held, pa.list_(pa.int64())))], ["toxic", "ordinary", "held"])
 
-    one = texts.repartition(1).sortWithinPartitions("h", "label").mapInArrow(dictionaries, "toxic array<binary>, ordinary array<binary>, held array<long>").first()
+    one = texts.repartition(1).sortWithinPartitions("h", "label").mapInArrow(lean(dictionaries), "toxic array<binary>, ordinary array<binary>, held array<long>").first()
     model = Model([bytes(x) for x in one[0]], [bytes(x) for x in one[1]])
-    held = spark.createDataFrame([(h,) for h in one[2]], "h long")
+    held = spark.createDataFrame(pa.table({"h": pa.array(one[2], pa.int64())}))  # a list would start Python workers of another kind
     sent = spark.sparkContext.broadcast(model)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,11 +264,12 @@ def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
                 x = scorer.features(part.column(0))
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(x.tolist(), pa.list_(pa.float64()))], ["label", "h", "x"])
 
-    found = sorted(map(tuple, texts.join(F.broadcast(held.distinct()), "h").select("text", "label", "h").mapInArrow(features, "label int, h long, x array<double>").distinct().collect()))
+    found = sorted(map(tuple, texts.join(F.broadcast(held.distinct()), "h").select("text", "label", "h").mapInArrow(lean(features), "label int, h long, x array<double>").distinct().collect()))
     y = np.array([r[0] for r in found])
     stands_for = np.array([counts[0] / max((y == 0).sum(), 1), counts[1] / max((y == 1).sum(), 1)])
     mean, scale, w = fit_logistic(np.array([r[2] for r in found]), y.astype(float), stands_for[y])
     model.mean, model.scale, model.weights = mean.tolist(), scale.tolist(), w.tolist()
+    release()
     return model
 
 

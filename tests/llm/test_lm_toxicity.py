@@ -261,3 +261,50 @@ def test_edge_rows(spark):
     for labels in ([], [(1, 0)], [(1, 1)]):
         m = toxicity.train(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
         assert len({r["toxicity_score"] for r in toxicity.score(df, m).collect()}) == 1
+
+
+def test_training_starts_no_plain_python_workers(spark, monkeypatch):
+    """Hashes of calibrating rows go to the JVM as Arrow: a list would start workers, and their parent, that no other step uses."""
+    from pyspark import SparkContext
+
+    docs = spark.createDataFrame([(i, f"kind plain words number {i} of many" if i % 2 else f"vile nasty slur number {i} of many") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id long, toxic int")
+    docs, labels = docs.localCheckpoint(), labels.localCheckpoint()
+
+    def refuse(*_, **__):
+        raise AssertionError("a list of rows goes through Python workers")
+
+    monkeypatch.setattr(SparkContext, "parallelize", refuse)
+    assert len(toxicity.train(docs, labels).weights) == 14
+
+
+WASTE = """
+import re
+from pathlib import Path
+import numpy as np, pyarrow as pa
+from folioflux.llm import shared, toxicity
+taken = lambda: sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text()))) // 1024
+def learn(batches):
+    rng = np.random.default_rng(0)
+    for batch in batches:
+        samples = [toxicity.coded(rng.integers(0, 1 << 60, 16).astype(np.uint64)) for _ in range(60_000)]
+        kept.append(bytearray(1000))  # what lies above freed memory keeps the heap from shrinking by itself
+        del samples
+        yield batch
+kept = []
+batch = pa.RecordBatch.from_pydict({"x": [1]})
+before = taken()
+assert sum(b.num_rows for b in getattr(shared, "lean", lambda f: f)(learn)(iter([batch] * 3))) == 3
+print("left", taken() - before)
+"""
+
+
+def test_workers_give_back_what_a_task_has_freed():
+    """A worker runs other operators' tasks next: it must not keep the most that any of them took."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    done = subprocess.run([sys.executable, "-c", WASTE], cwd=Path(__file__).parents[2], capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout.split("left")[1]) < 12, done.stdout
